@@ -54,3 +54,51 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def key_runs(batches, keys: list[str]):
+    """Frames of whole groups of equal keys out of a partition that is sorted by them; a frame holds one or more groups."""
+    import numpy as np
+    import pandas as pd
+
+    held = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = [batch[k].to_numpy() for k in keys]
+        new = np.zeros(len(batch), bool)
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        same = bool(held) and all(held[-1][k].iloc[-1] == v[0] for k, v in zip(keys, values, strict=True))
+        if held and not same:
+            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            held = []
+        if len(starts):
+            held.append(batch.iloc[: starts[-1]])
+            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+            held = []
+            batch = batch.iloc[starts[-1] :]
+        held.append(batch.reset_index(drop=True))
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def group_bounds(frame, keys: list[str]):
+    """Starts of the groups of equal keys in a sorted frame, and its length."""
+    import numpy as np
+
+    new = np.zeros(len(frame), bool)
+    new[0] = True
+    for k in keys:
+        v = frame[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(new), len(frame))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that no longer exist, between two long steps."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, source_mix, url_filter
+from . import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, source_mix, url_filter
 from ._shared import table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -19,6 +19,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target: rows of good quality that aren't toxic."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return lm_score.score(docs, lm_score.train(docs, labels.where("quality = 1 and coalesce(toxic, 0) = 0")))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
@@ -27,6 +37,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -39,7 +53,7 @@ m as (select page_id, arg_max(h || q, len(h || q)) rule, arg_max(verdict, len(h
 select p.page_id, host, path, rule, coalesce(verdict, 'allow') verdict from p left join m on p.page_id = m.page_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_url_filter, op6_decontaminate, op8_line_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_url_filter, op4_lm_score, op5_minhash, op6_decontaminate, op8_line_dedup, op9_embedding_dedup, op10_language_id)}
 
 ORACLES = {
     "op1_source_mix": source_mix.ORACLE.format(documents="documents"),
