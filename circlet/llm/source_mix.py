@@ -141,8 +141,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
 
 
 def training_order(mixed: DataFrame, partitions: int = 64) -> DataFrame:
-    """The documents in the order of training: range-partitioned and sorted by position."""
-    return mixed.where("taken > 0").repartitionByRange(partitions, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    """The documents in the order of training: range-partitioned and sorted by position; those that aren't taken come last."""
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    return mixed.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
 ORACLE = """
