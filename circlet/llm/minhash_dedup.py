@@ -10,7 +10,7 @@ smallest of them, from one hash function.
    most frequent ones; only these make candidates, so that a passage that
    stands in very many documents hardly makes any.
 3. Lists of up to LIST classes give pairs by a join.  Longer lists are dealt
-   in blocks and compared by their sketches within tasks: the first time only
+   in blocks and compared by their sketches (here of LARGE values) within tasks: the first time only
    a spanning forest of the pairs that look alike leaves a task, so that a
    large group of copies gives links in proportion to its size.
 4. The union of two sketches, below the smaller of their last values, gives an
@@ -41,6 +41,8 @@ from ._shared import free_shuffles, group_bounds, key_runs, materialise, small_b
 from .components import components
 
 K = 64
+#: values kept of documents in long lists; sets up to that size are compared exactly within the blocks
+LARGE = 512
 LIST = 40
 BLOCK = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -101,6 +103,23 @@ def sketches(docs: DataFrame, shingle: int, k: int = K) -> DataFrame:
     return materialise(docs.select("doc_id", judge(F.col("text")).alias("s")).select("doc_id", "s.*"), "sketches")
 
 
+def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
+    """rep and text of the documents in used (rep)."""
+    return docs.select(F.col("doc_id").alias("rep"), "text").where("text is not null").join(used, "rep", "left_semi").dropDuplicates(["rep"])
+
+
+def _large(docs: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
+    """rep and large, a sketch of LARGE values, of the documents in used."""
+
+    @F.pandas_udf("array<long>")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _Hashes()
+        for batch in batches:
+            yield pd.Series([shingle_hashes(t, shingle, known)[:LARGE].view(np.int64) for t in batch])
+
+    return _texts(docs, used).select("rep", judge("text").alias("large"))
+
+
 def estimates(left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
     """Similarity of pairs of sketches of equal length (rows), from their union up to the smaller of their last values; padded with the largest value."""
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -154,7 +173,8 @@ def _blocks(percent: int, k: int, forest: bool, batches: Iterator[pd.DataFrame])
             part = frame.iloc[lo:hi]
             sub, rep, size, component = (part[c].to_numpy() for c in ("sub", "rep", "size", "component"))
             p, q = part["p"].iloc[0], part["q"].iloc[0]
-            sketch = _padded(part["sketch"].to_list(), k)
+            large = _padded(part["large"].to_list(), LARGE)
+            sketch = large[:, :k]
             values, inverse = np.unique(sketch, return_inverse=True)
             inverse = inverse.reshape(sketch.shape)
             often = np.bincount(inverse.ravel(), minlength=len(values)) > 1
@@ -173,12 +193,28 @@ def _blocks(percent: int, k: int, forest: bool, batches: Iterator[pd.DataFrame])
             fine &= (np.minimum(size[rows][:, None], size[cols][None, :]) * 100) >= (np.maximum(size[rows][:, None], size[cols][None, :]) * percent)
             if p == q:
                 fine &= np.tri(len(rows), k=-1, dtype=bool).T
+            # a pair that shares several lists is looked at in that of the least value
+            before = np.zeros((hi - lo, len(values)), np.float32)
+            here = part["value"].iloc[0]
+            for r, own in enumerate(part["places"]):
+                own = np.asarray(own, np.int64)
+                before[r, np.searchsorted(values, own[own < here].view(np.uint64))] = 1
+            before = before[:, before.any(axis=0)]
+            fine &= before[rows] @ before[cols].T == 0
             i, j = np.nonzero(fine)
             if not len(i):
                 continue
             i, j = rows[i], cols[j]
-            about = np.concatenate([estimates(sketch[i[x : x + 65536]], sketch[j[x : x + 65536]], k) for x in range(0, len(i), 65536)])
-            i, j, about = i[about >= floor], j[about >= floor], about[about >= floor]
+            about = np.concatenate([estimates(sketch[i[x : x + 16384]], sketch[j[x : x + 16384]], k) for x in range(0, len(i), 16384)])
+            i, j = i[about >= floor], j[about >= floor]
+            if not len(i):
+                continue
+            about = np.concatenate([estimates(large[i[x : x + 2048]], large[j[x : x + 2048]], LARGE) for x in range(0, len(i), 2048)])
+            exact = np.maximum(size[i], size[j]) <= LARGE
+            alike = about >= np.where(exact, percent / 100 - 1e-9, _floor(percent, LARGE))
+            i, j, about = i[alike], j[alike], about[alike]
+            if not len(i):
+                continue
             if forest and len(i) > 2 * (hi - lo):
                 kept = _forest(i, j, about, hi - lo)
                 i, j = i[kept], j[kept]
@@ -196,13 +232,14 @@ def _long_lists(places: DataFrame, sizes: DataFrame, reps: DataFrame, label: Dat
     if label is None:
         rows = rows.withColumn("component", F.col("rep"))
     else:
+        # only lists with several components are dealt
         rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         lists = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     rows = rows.join(lists.select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "value")
     rows = rows.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least("sub", o).alias("p"), F.greatest("sub", o).alias("q")))
     rows = rows.select("value", "rep", "component", "sub", F.explode(pair).alias("pq")).select("*", "pq.p", "pq.q").drop("pq")
-    rows = rows.join(reps.select("rep", "size", "sketch"), "rep").repartition(*order).sortWithinPartitions(*order)
+    rows = rows.join(reps, "rep").repartition(*order).sortWithinPartitions(*order)
     forest = label is None
     return rows.mapInPandas(lambda b: _blocks(percent, k, forest, b), "a long, b long").distinct()
 
@@ -252,8 +289,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     places = values.join(sizes, "value").withColumn("place", F.row_number().over(frequent)).where(F.col("place") >= F.greatest(need, F.lit(1))).select("value", "rep", "size")
     places = materialise(places, "places")
     free_shuffles(spark)
-    left = places.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = materialise(left, "lists")
+    sizes = materialise(places.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    in_long = places.join(sizes.where(F.col("n") > LIST).select("value"), "value").select("rep").distinct()
+    listed = materialise(_large(docs, in_long, shingle).join(reps.drop("sketch"), "rep").join(places.groupBy("rep").agg(F.collect_list("value").alias("places")), "rep"), "classes")
     short = places.join(sizes.where(F.col("n") <= LIST).select("value"), "value")
     a, b = (short.select("value", F.col("rep").alias(r), F.col("size").alias(f"size_{r}")) for r in ("a", "b"))
     near = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (F.col("a") < F.col("b"))
@@ -261,18 +299,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     own = lambda r: reps.select(F.col("rep").alias(r), F.col("sketch").alias(f"sketch_{r}"))
     alike = _estimate_column(percent, k)
     pairs = pairs.join(own("a"), "a").join(own("b"), "b").where(alike("sketch_a", "sketch_b")).select("a", "b")
-    first = materialise(pairs.unionByName(_long_lists(places, sizes, reps, None, percent, k)).distinct(), "pairs")
+    first = materialise(pairs.unionByName(_long_lists(places, sizes, listed, None, percent, k)).distinct(), "pairs")
     free_shuffles(spark)
 
     def texts(of: DataFrame) -> DataFrame:
-        used = of.select(F.col("a").alias("rep")).unionByName(of.select(F.col("b").alias("rep"))).distinct()
-        own_text = docs.select(F.col("doc_id").alias("rep"), "text").where("text is not null")
-        return own_text.join(used, "rep", "left_semi").dropDuplicates(["rep"])
+        return _texts(docs, of.select(F.col("a").alias("rep")).unionByName(of.select(F.col("b").alias("rep"))).distinct())
 
     links = materialise(verify(first, texts(first), shingle, percent), "links")
     label = materialise(components(links), "labels")
     free_shuffles(spark)
-    again = materialise(_long_lists(places, sizes, reps, label, percent, k).join(first, ["a", "b"], "left_anti"), "pairs")
+    again = materialise(_long_lists(places, sizes, listed, label, percent, k).join(first, ["a", "b"], "left_anti"), "pairs")
     if again.limit(1).count():
         links = links.unionByName(materialise(verify(again, texts(again), shingle, percent), "links"))
         label = materialise(components(links), "labels")
