@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._shared import free_shuffles, group_bounds, key_runs, materialise, small_batches
 
 LENGTH = 100
-GRAM = 50
+GRAM = 40
 _BLOCK = 1 << 20
 _SEED = 20240301
 
@@ -126,8 +126,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+#: a place in a text and the number of windows there, as one integer
+_PLACE = 128
+
+
 def _cut(length: int, gram: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """_id, _key, anchor, h1, h2, start and number of windows of each run of each text; removed: the run is a repeat within its text."""
+    """_id, _key, anchor, h (of the run's bytes), place of each run of each text.
+
+    A run that stands in the text before has a negative place: it is removed, whatever others do.
+    """
     for batch in batches:
         out = []
         for i, (text, key) in enumerate(zip(batch["text"], batch["_key"], strict=True)):
@@ -135,36 +142,41 @@ def _cut(length: int, gram: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd
             anchor, h1, h2, start, count = runs(data, length, gram)
             if not len(anchor):
                 continue
-            order = np.lexsort((start, h2, h1, anchor))
+            h = (h1 ^ (h2 >> np.uint64(17))) * np.uint64(0xBF58476D1CE4E5B9) + h2 + count.astype(np.uint64)
+            order = np.lexsort((start, h, anchor))
             again = np.zeros(len(order), bool)
-            again[1:] = (anchor[order][1:] == anchor[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1]) & (count[order][1:] == count[order][:-1])
-            removed = np.zeros(len(order), bool)
-            removed[order] = again
-            out.append((i, key, anchor, h1, h2, start, count, removed))
-        if not out:
-            continue
-        size = [len(x[2]) for x in out]
-        frame = {"_id": batch["_id"].to_numpy()[np.repeat([x[0] for x in out], size)], "_key": np.repeat([x[1] for x in out], size)}
-        for k, name in ((2, "anchor"), (3, "h1"), (4, "h2")):
-            frame[name] = _signed(np.concatenate([x[k] for x in out]))
-        for k, name in ((5, "start"), (6, "n")):
-            frame[name] = np.concatenate([x[k] for x in out]).astype(np.int32)
-        frame["removed"] = np.concatenate([x[7] for x in out])
-        yield pd.DataFrame(frame)
+            again[1:] = (anchor[order][1:] == anchor[order][:-1]) & (h[order][1:] == h[order][:-1])
+            place = start * _PLACE + count
+            place[order[again]] *= -1
+            out.append((i, key, _signed(anchor), _signed(h), place))
+        if out:
+            size = [len(x[2]) for x in out]
+            frame = {"_id": batch["_id"].to_numpy()[np.repeat([x[0] for x in out], size)], "_key": np.repeat([x[1] for x in out], size)}
+            yield pd.DataFrame(frame | {name: np.concatenate([x[k] for x in out]) for k, name in ((2, "anchor"), (3, "h"), (4, "place"))})
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of runs sorted by anchor, hashes and place: kind 1, to remove; kind 2, windows to be compared one by one."""
+    """Of runs sorted by anchor, hash and place: kind 1, to remove; kind 2, windows to be compared one by one."""
+
+    def out(part: pd.DataFrame, kind) -> pd.DataFrame:
+        place = np.abs(part["place"].to_numpy())
+        return pd.DataFrame({"_id": part["_id"].to_numpy(), "_key": part["_key"].to_numpy(), "start": (place // _PLACE).astype(np.int32), "n": (place % _PLACE).astype(np.int32), "kind": np.int32(kind)})
+
     for frame in key_runs(batches, ["anchor"]):
+        again = frame["place"].to_numpy() < 0
+        if again.any():
+            yield out(frame[again], 1)
+            frame = frame[~again].reset_index(drop=True)
+            if not len(frame):
+                continue
         bounds = group_bounds(frame, ["anchor"])
         group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         new = np.zeros(len(frame), bool)
-        new[group_bounds(frame, ["anchor", "h1", "h2", "n"])[:-1]] = True
+        new[group_bounds(frame, ["anchor", "h"])[:-1]] = True
         unlike = np.bincount(group[new], minlength=len(bounds) - 1) > 1
-        kind = np.where(~new, 1, np.where(unlike[group], 2, 0))
-        out = frame.loc[kind > 0, ["_id", "_key", "anchor", "start", "n"]]
-        if len(out):
-            yield out.assign(kind=kind[kind > 0].astype(np.int32))
+        for kind, found in ((1, ~new), (2, new & unlike[group])):
+            if found.any():
+                yield out(frame[found], kind)
 
 
 def _hash_windows(length: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,44 +208,35 @@ def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield frame.loc[again, ["_id", "_key", "start"]]
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select(_key().alias("_id"), F.xxhash64("text").alias("_key"), "text")
+
+
+def _settled(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    small_batches(docs.sparkSession)
+    cut = _rows(docs).mapInPandas(lambda b: _cut(length, gram, b), "_id long, _key long, anchor long, h long, place long")
+    dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "h", "_id", "_key", F.abs("place"))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")  # of the rows that go to _settle; texts go by fewer, see below
+    return materialise(dealt.mapInPandas(_settle, "_id long, _key long, start int, n int, kind int"), "runs")
+
+
+def _late(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
+    small_batches(docs.sparkSession)
+    spans = settled.where("kind = 2").groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    open_rows = _rows(docs).join(spans, ["_id", "_key"]).select("_id", "_key", "text", "spans")
+    windows = open_rows.mapInPandas(lambda b: _hash_windows(length, b), "_id long, _key long, w1 long, w2 long, start int")
+    sorted_windows = windows.repartition("w1").sortWithinPartitions("w1", "w2", "_id", "_key", "start")
+    return materialise(sorted_windows.mapInPandas(_later, "_id long, _key long, start int"), "windows")
+
+
 def removed_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """_id, _key, start, n: runs of n windows to remove."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.where("text is not null").select(_key().alias("_id"), F.xxhash64("text").alias("_key"), "text")
-    cut = rows.mapInPandas(lambda b: _cut(length, gram, b), "_id long, _key long, anchor long, h1 long, h2 long, start int, n int, removed boolean")
-    order = ["anchor", "h1", "h2", "n", "_id", "_key", "start"]
-    # a repeat within its text doesn't settle other runs: it only goes where it stands, beside the others in the same pass
-    dealt = cut.withColumn("_deal", F.when(F.col("removed"), F.xxhash64("_id", "start")).otherwise(F.xxhash64("anchor"))).repartition(F.col("_deal")).sortWithinPartitions("removed", *order)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    out_schema = "_id long, _key long, anchor long, start int, n int, kind int"
-
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rest(batches: Iterator[pd.DataFrame], done: list) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                gone = b["removed"].to_numpy()
-                if gone.any():
-                    done.append(b.loc[gone, ["_id", "_key", "anchor", "start", "n"]].assign(kind=np.int32(1)))
-                if not gone.all():
-                    yield b.loc[~gone].reset_index(drop=True)
-
-        done: list = []
-        for out in _settle(rest(batches, done)):
-            yield from done
-            done.clear()
-            yield out
-        yield from done
-
-    settled = materialise(dealt.mapInPandas(settle, out_schema), "runs")
-    free_shuffles(spark)
-    small_batches(spark)
-    spans = settled.where("kind = 2").groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    spans = spans.withColumnsRenamed({"_id": "_sid", "_key": "_skey"})
-    open_rows = rows.join(spans, (rows["_id"] == spans["_sid"]) & (rows["_key"] == spans["_skey"])).select("_id", "_key", "text", "spans")
-    windows = open_rows.mapInPandas(lambda b: _hash_windows(length, b), "_id long, _key long, w1 long, w2 long, start int").distinct()
-    sorted_windows = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "_id", "_key", "start")
-    late = materialise(sorted_windows.mapInPandas(_later, "_id long, _key long, start int"), "windows")
-    free_shuffles(spark)
+    if length - gram + 1 >= _PLACE:
+        raise ValueError(f"length - gram has to be less than {_PLACE - 1}")
+    settled = _settled(docs, length, gram)
+    free_shuffles(docs.sparkSession)
+    late = _late(docs, settled, length)
+    free_shuffles(docs.sparkSession)
     return settled.where("kind = 1").select("_id", "_key", "start", "n").unionByName(late.withColumn("n", F.lit(1)))
 
 
