@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ._shared import small_batches
 
-VOCABULARY = 1 << 17
-BIGRAMS = 1 << 20
+VOCABULARY = 1 << 16
+BIGRAMS = 1 << 18
 MIXED = 0.7
 SMOOTHING = 0.1
 _START = 0
@@ -57,7 +57,7 @@ def bigram_bins(numbers: np.ndarray) -> np.ndarray:
     pair = numbers[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + numbers[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     pair ^= pair >> np.uint64(29)
     pair *= np.uint64(0xBF58476D1CE4E5B9)
-    return (pair >> np.uint64(44)).astype(np.int64) % BIGRAMS
+    return (pair >> np.uint64(24)).astype(np.int64) % BIGRAMS
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
