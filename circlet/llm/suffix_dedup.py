@@ -10,8 +10,9 @@ at the smallest hash among the grams inside it, which equal windows share:
    equal runs within a text only the first goes on; later ones are removed.
 2. Runs are dealt and sorted by anchor.  Of equal runs, all but the first are
    removed.  An anchor with unlike runs (where a repeated passage begins or
-   ends) sends the first one of each to the next step.
-3. Of those few runs every window is hashed, and of equal windows all but the
+   ends) sends the first one of each to the next step, without windows that
+   small hashes of the bytes around the anchor show to be in no other run.
+3. Of what is left every window is hashed, and of equal windows all but the
    first are removed.
 4. The removed bytes of a text are the union of its removed windows.
 
@@ -56,7 +57,7 @@ _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Powers of the bases and of their inverses modulo 2**64, n or more."""
     if not _POWERS or len(_POWERS[0][0]) < n:
-        size = max(n, 1 << 21)
+        size = 1 << max(17, (n - 1).bit_length())
         made = []
         for b in _BASE:
             inverse = np.array([pow(int(b), -1, 1 << 64)], np.uint64)
@@ -98,23 +99,50 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _anchors(grams: np.ndarray, least: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Where the anchor of each run stands: first from the start of the run's last window on, as all its windows hold it."""
+    at = last.copy()
+    rest = np.flatnonzero(grams[at] != least)
+    while len(rest):
+        at[rest] += 1
+        rest = rest[grams[at[rest]] != least[rest]]
+    return at
+
+
+def _half(length: int, gram: int) -> int:
+    """A window has so many bytes before its anchor or so many after it."""
+    return (length - gram + 1) // 2
+
+
+def _mark(hashes: Rolling, start: np.ndarray, end: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """A small hash of the bytes; 0 where they aren't all in the run."""
+    out = np.zeros(len(there), np.int64)
+    out[there] = 1 + (_mixed(hashes.of(start[there], end[there])) >> np.uint64(40)).astype(np.int64) % (_MARKS - 1)
+    return out
+
+
 def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """anchor, two hashes, start and number of windows of each run."""
+    """anchor, two hashes, and place of each run (see _place)."""
     n = len(data)
     if n < length:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64))
     one, two = Rolling(data, 0), Rolling(data, 1)
     at = np.arange(n - gram + 1)
-    grams = one.of(at, at + gram)
-    grams ^= grams >> np.uint64(32)
-    grams *= np.uint64(0x9E3779B97F4A7C15)
+    grams = _mixed(one.of(at, at + gram))
     least = _window_min(grams, length - gram + 1)
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1])
     start = np.flatnonzero(new)
     count = np.diff(np.append(start, len(least)))
     end = start + count + length - 1
-    return least[start], one.of(start, end), two.of(start, end), start, count
+    at, half = _anchors(grams, least[start], start + count - 1), _half(length, gram)
+    before = _mark(one, at - half, at, at - half >= start)
+    after = _mark(one, at + gram, at + gram + half, at + gram + half <= end)
+    return least[start], one.of(start, end), two.of(start, end), _place(start, before, after, at - (start + count - 1), count)
 
 
 def _key(doc_id: str = "doc_id") -> F.Column:
@@ -126,8 +154,28 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-#: a place in a text and the number of windows there, as one integer
-_PLACE = 128
+#: windows of a run, less than so many
+_COUNTS = 64
+_MARKS = 1024
+
+
+def _place(start: np.ndarray, before: np.ndarray, after: np.ndarray, ahead: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One integer: a run's start, the marks, the anchor's distance from the last window's start, the number of windows."""
+    return ((((start * _MARKS + before) * _MARKS) + after) * _COUNTS + ahead) * _COUNTS + count
+
+
+def _unplace(place: np.ndarray) -> tuple[np.ndarray, ...]:
+    rest, count = np.divmod(np.abs(place), _COUNTS)
+    rest, ahead = np.divmod(rest, _COUNTS)
+    rest, after = np.divmod(rest, _MARKS)
+    start, before = np.divmod(rest, _MARKS)
+    return start, before, after, ahead, count
+
+
+def _shared(group: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Whether another row of the group has the same mark."""
+    _, at, counts = np.unique(group * _MARKS + mark, return_inverse=True, return_counts=True)
+    return (counts[at] > 1) & (mark > 0)
 
 
 def _cut(length: int, gram: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,14 +187,13 @@ def _cut(length: int, gram: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd
         out = []
         for i, (text, key) in enumerate(zip(batch["text"], batch["_key"], strict=True)):
             data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-            anchor, h1, h2, start, count = runs(data, length, gram)
+            anchor, h1, h2, place = runs(data, length, gram)
             if not len(anchor):
                 continue
-            h = (h1 ^ (h2 >> np.uint64(17))) * np.uint64(0xBF58476D1CE4E5B9) + h2 + count.astype(np.uint64)
-            order = np.lexsort((start, h, anchor))
+            h = (h1 ^ (h2 >> np.uint64(17))) * np.uint64(0xBF58476D1CE4E5B9) + h2 + (place % _COUNTS).astype(np.uint64)
+            order = np.lexsort((place, h, anchor))
             again = np.zeros(len(order), bool)
             again[1:] = (anchor[order][1:] == anchor[order][:-1]) & (h[order][1:] == h[order][:-1])
-            place = start * _PLACE + count
             place[order[again]] *= -1
             out.append((i, key, _signed(anchor), _signed(h), place))
         if out:
@@ -155,17 +202,33 @@ def _cut(length: int, gram: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd
             yield pd.DataFrame(frame | {name: np.concatenate([x[k] for x in out]) for k, name in ((2, "anchor"), (3, "h"), (4, "place"))})
 
 
-def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of runs sorted by anchor, hash and place: kind 1, to remove; kind 2, windows to be compared one by one."""
+def _settle(half: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of runs sorted by anchor, hash and place: kind 1, to remove; kind 2, windows to be compared one by one.
+
+    A window of two unlike runs has ``half`` bytes before its anchor in common, or that many after it; windows
+    for which no other run of the anchor has the mark are in no other run.
+    """
+
+    def out(part: pd.DataFrame, kind: int, start: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"_id": part["_id"].to_numpy(), "_key": part["_key"].to_numpy(), "start": start.astype(np.int32), "n": n.astype(np.int32), "kind": np.int32(kind)})
+
+    def remove(part: pd.DataFrame) -> pd.DataFrame:
+        start, _, _, _, n = _unplace(part["place"].to_numpy())
+        return out(part, 1, start, n)
 
-    def out(part: pd.DataFrame, kind) -> pd.DataFrame:
-        place = np.abs(part["place"].to_numpy())
-        return pd.DataFrame({"_id": part["_id"].to_numpy(), "_key": part["_key"].to_numpy(), "start": (place // _PLACE).astype(np.int32), "n": (place % _PLACE).astype(np.int32), "kind": np.int32(kind)})
+    def compare(part: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        start, before, after, ahead, n = _unplace(part["place"].to_numpy())
+        end = start + n
+        middle = end + ahead - half  # windows that start before it have half or more bytes before the anchor
+        start = np.where(_shared(group, before), start, np.maximum(start, middle))
+        end = np.where(_shared(group, after), end, np.minimum(end, middle))
+        some = end > start
+        return out(part[some], 2, start[some], (end - start)[some])
 
     for frame in key_runs(batches, ["anchor"]):
         again = frame["place"].to_numpy() < 0
         if again.any():
-            yield out(frame[again], 1)
+            yield remove(frame[again])
             frame = frame[~again].reset_index(drop=True)
             if not len(frame):
                 continue
@@ -174,9 +237,11 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new = np.zeros(len(frame), bool)
         new[group_bounds(frame, ["anchor", "h"])[:-1]] = True
         unlike = np.bincount(group[new], minlength=len(bounds) - 1) > 1
-        for kind, found in ((1, ~new), (2, new & unlike[group])):
-            if found.any():
-                yield out(frame[found], kind)
+        if not new.all():
+            yield remove(frame[~new])
+        found = new & unlike[group]
+        if found.any():
+            yield compare(frame[found], group[found])
 
 
 def _hash_windows(length: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +282,8 @@ def _settled(docs: DataFrame, length: int, gram: int) -> DataFrame:
     cut = _rows(docs).mapInPandas(lambda b: _cut(length, gram, b), "_id long, _key long, anchor long, h long, place long")
     dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "h", "_id", "_key", F.abs("place"))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")  # of the rows that go to _settle; texts go by fewer, see below
-    return materialise(dealt.mapInPandas(_settle, "_id long, _key long, start int, n int, kind int"), "runs")
+    half = _half(length, gram)
+    return materialise(dealt.mapInPandas(lambda b: _settle(half, b), "_id long, _key long, start int, n int, kind int"), "runs")
 
 
 def _late(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
@@ -231,8 +297,8 @@ def _late(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
 
 def removed_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """_id, _key, start, n: runs of n windows to remove."""
-    if length - gram + 1 >= _PLACE:
-        raise ValueError(f"length - gram has to be less than {_PLACE - 1}")
+    if length - gram + 1 >= _COUNTS:
+        raise ValueError(f"length - gram has to be less than {_COUNTS - 1}")
     settled = _settled(docs, length, gram)
     free_shuffles(docs.sparkSession)
     late = _late(docs, settled, length)
