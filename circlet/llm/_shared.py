@@ -97,8 +97,14 @@ def group_bounds(frame, keys: list[str]):
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that no longer exist, between two long steps."""
+    """Lets Spark delete the shuffle files of plans that no longer exist, between two long steps.
+
+    Twice, as the JVM lets go of what Python has dropped only after the first time; the files go in the background.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
