@@ -287,7 +287,7 @@ def _settled(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _late(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2048)
     spans = settled.where("kind = 2").groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     open_rows = _rows(docs).join(spans, ["_id", "_key"]).select("_id", "_key", "text", "spans")
     windows = open_rows.mapInPandas(lambda b: _hash_windows(length, b), "_id long, _key long, w1 long, w2 long, start int")
