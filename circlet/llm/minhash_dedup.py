@@ -9,15 +9,17 @@ smallest of them, from one hash function.
    that it also shares one of those that are left when each sketch drops its
    most frequent ones; only these make candidates, so that a passage that
    stands in very many documents hardly makes any.
-3. Lists of up to LIST classes give pairs by a join.  Longer lists are dealt
-   in blocks and compared by their sketches (here of LARGE values) within tasks: the first time only
-   a spanning forest of the pairs that look alike leaves a task, so that a
-   large group of copies gives links in proportion to its size.
+3. First, lists of up to LIST classes give the pairs of neighbours by size.
+   Longer lists are dealt in blocks and compared by their sketches (here of
+   LARGE values) within a block, and a spanning forest of the pairs that look
+   alike leaves a task.  So a large group of copies gives links in proportion
+   to its size.
 4. The union of two sketches, below the smaller of their last values, gives an
    estimate; what is far below the threshold goes.
 5. The rest is verified on the full sets of shingles.
-6. Long lists are compared again, then between different components only and
-   without a forest; so no pair that looks alike is left unverified.
+6. All lists are compared again: all pairs of a list whose members are in
+   different components by then, and without a forest.  So no pair that looks
+   alike is left unverified, but where its documents are linked already.
 
 Defined results: a null text, an empty one and one without words has an empty
 set and links with nothing; of fewer words than a shingle has, the whole
@@ -224,26 +226,60 @@ def _blocks(percent: int, k: int, forest: bool, batches: Iterator[pd.DataFrame])
             yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows of the lists that hold several components, and the component of each row."""
+    rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
+    return rows.join(several, "value")
+
+
 def _long_lists(places: DataFrame, sizes: DataFrame, reps: DataFrame, label: DataFrame | None, percent: int, k: int) -> DataFrame:
-    """a, b: pairs out of the lists of more than LIST classes, label: node and component of those that are linked."""
+    """a, b: pairs out of the lists of more than LIST classes, label: node and component of those that are linked.
+
+    Without label each row is in one block, by a hash of the list as well, so that the members of a group meet
+    in other blocks of their other lists.  With it, rows of a list's largest component meet those outside it
+    only, and those outside it meet each other.
+    """
     order = ["value", "p", "q"]
-    lists = sizes.where(F.col("n") > LIST)
-    rows = places.join(lists.select("value"), "value")
+    rows = places.join(sizes.where(F.col("n") > LIST).select("value"), "value").select("value", "rep")
     if label is None:
-        rows = rows.withColumn("component", F.col("rep"))
+        lists = sizes.where(F.col("n") > LIST).select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("m"))
+        rows = rows.join(lists, "value").withColumn("p", F.pmod(F.xxhash64("rep", "value"), F.col("m")).cast("int"))
+        rows = rows.select("value", "rep", F.col("rep").alias("component"), F.col("p").alias("sub"), "p", F.col("p").alias("q"))
     else:
-        # only lists with several components are dealt
-        rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        lists = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = rows.join(lists.select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "value")
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least("sub", o).alias("p"), F.greatest("sub", o).alias("q")))
-    rows = rows.select("value", "rep", "component", "sub", F.explode(pair).alias("pq")).select("*", "pq.p", "pq.q").drop("pq")
+        rows = _labelled(rows, label)
+        counts = rows.groupBy("value", "component").agg(F.count("*").alias("n"))
+        main = counts.groupBy("value").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+        blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+        main = main.select("value", F.col("top.component").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("m"), blocks(F.col("top.n")).alias("m_main"))
+        rows = rows.join(main, "value").withColumn("is_main", F.col("component") == F.col("main"))
+        # blocks of rows outside the largest component are numbered from 0, its own from m
+        rows = rows.withColumn("sub", F.when(F.col("is_main"), F.col("m") + F.pmod(F.xxhash64("rep"), F.col("m_main"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("m"))).cast("int"))
+        upto = F.when(F.col("is_main"), F.col("m")).otherwise(F.col("m") + F.col("m_main")) - 1
+        pair = F.transform(F.sequence(F.lit(0), upto), lambda o: F.struct(F.least("sub", o).alias("p"), F.greatest("sub", o).alias("q")))
+        rows = rows.select("value", "rep", "component", "sub", F.explode(pair).alias("pq")).select("value", "rep", "component", "sub", "pq.p", "pq.q")
     rows = rows.join(reps, "rep").repartition(*order).sortWithinPartitions(*order)
     forest = label is None
     return rows.mapInPandas(lambda b: _blocks(percent, k, forest, b), "a long, b long").distinct()
 
 
+def _short_lists(places: DataFrame, sizes: DataFrame, reps: DataFrame, label: DataFrame | None, percent: int, k: int) -> DataFrame:
+    """a, b: pairs out of the lists of up to LIST classes.  Without label: neighbours by size; with it: all between different components."""
+    short = places.join(sizes.where(F.col("n") <= LIST).select("value"), "value")
+    if label is None:
+        by_size = Window.partitionBy("value").orderBy("size", "rep")
+        one = short.select(F.struct("rep", "size").alias("x"), F.lag(F.struct("rep", "size")).over(by_size).alias("y")).where("y is not null")
+        pairs = one.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b"))
+    else:
+        short = _labelled(short, label)
+        a, b = (short.select("value", F.col("rep").alias(r), F.col("size").alias(f"size_{r}"), F.col("component").alias(f"component_{r}")) for r in ("a", "b"))
+        pairs = a.join(b, "value").where("a < b and component_a <> component_b")
+    pairs = pairs.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent).select("a", "b").distinct()
+    own = lambda r: reps.select(F.col("rep").alias(r), F.col("sketch").alias(f"sketch_{r}"))
+    alike = _estimate_column(percent, k)
+    return pairs.join(own("a"), "a").join(own("b"), "b").where(alike("sketch_a", "sketch_b")).select("a", "b")
+
+
 def _estimate_column(percent: int, k: int):
     floor = _floor(percent, k)
 
@@ -292,14 +328,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     sizes = materialise(places.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     in_long = places.join(sizes.where(F.col("n") > LIST).select("value"), "value").select("rep").distinct()
     listed = materialise(_large(docs, in_long, shingle).join(reps.drop("sketch"), "rep").join(places.groupBy("rep").agg(F.collect_list("value").alias("places")), "rep"), "classes")
-    short = places.join(sizes.where(F.col("n") <= LIST).select("value"), "value")
-    a, b = (short.select("value", F.col("rep").alias(r), F.col("size").alias(f"size_{r}")) for r in ("a", "b"))
-    near = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, "value").where(near).select("a", "b").distinct()
-    own = lambda r: reps.select(F.col("rep").alias(r), F.col("sketch").alias(f"sketch_{r}"))
-    alike = _estimate_column(percent, k)
-    pairs = pairs.join(own("a"), "a").join(own("b"), "b").where(alike("sketch_a", "sketch_b")).select("a", "b")
-    first = materialise(pairs.unionByName(_long_lists(places, sizes, listed, None, percent, k)).distinct(), "pairs")
+
+    def candidates(label: DataFrame | None) -> DataFrame:
+        return _short_lists(places, sizes, reps, label, percent, k).unionByName(_long_lists(places, sizes, listed, label, percent, k)).distinct()
+
+    first = materialise(candidates(None), "pairs")
     free_shuffles(spark)
 
     def texts(of: DataFrame) -> DataFrame:
@@ -308,7 +341,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     links = materialise(verify(first, texts(first), shingle, percent), "links")
     label = materialise(components(links), "labels")
     free_shuffles(spark)
-    again = materialise(_long_lists(places, sizes, listed, label, percent, k).join(first, ["a", "b"], "left_anti"), "pairs")
+    again = materialise(candidates(label).join(first, ["a", "b"], "left_anti"), "pairs")
     if again.limit(1).count():
         links = links.unionByName(materialise(verify(again, texts(again), shingle, percent), "links"))
         label = materialise(components(links), "labels")
