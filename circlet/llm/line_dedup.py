@@ -8,7 +8,9 @@ that stand in several places are found by their hashes, compared byte by byte
 first one (by doc_id, then by line).
 
 All of it is DataFrame operations, and texts stay in their rows until a chunk
-is known to share its hash with another.
+is known to share its hash with another.  A hash with more than 1/HOT_PARTS of
+all repeated chunks is hot: there are fewer than HOT_PARTS of them, so they can
+be broadcast, and their rows are dealt over SALTS tasks in both joins.
 
 Defined results: a null text stays null and has 0 lines, an empty one has one
 empty line.  Chunks of blank lines only are kept.  Null ids come first.  Rows
@@ -25,6 +27,9 @@ from ._shared import materialise
 WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
+#: fewer hashes than this can be hot, whatever the input
+HOT_PARTS = 1000
+SALTS = 64
 
 
 def _line_hash(line: Column) -> Column:
@@ -48,12 +53,18 @@ def removed(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES)
     one = chunks(docs, divisor).select("_id", "_key", "lines", F.explode_outer("chunks").alias("c")).where(F.col("c.end") - F.col("c.start") + 1 >= min_lines)
     text = F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start") + 1), "\n")
     one = one.select("_id", "_key", "c", text.alias("chunk")).where(F.trim("chunk") != "").withColumn("hash", F.xxhash64("chunk"))
-    often = one.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    places = one.join(often, "hash").select("_id", "_key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), "chunk")
+    often = materialise(one.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "line-hashes")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    hot = often.where(F.col("n") * HOT_PARTS > total).select("hash", F.lit(True).alias("hot"))
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    often = often.select("hash", (F.col("n") * HOT_PARTS > total).alias("hot")).select("hash", salts)
+    dealt = F.when(F.col("hot"), F.pmod(F.xxhash64("_id", "_key", "c.start"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    one = one.join(F.broadcast(hot), "hash", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("salt", dealt)
+    places = one.join(often, ["hash", "salt"]).select("_id", "_key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), "chunk", "hot", "salt")
     places = materialise(places, "line-chunks")
     order = F.struct(F.col("_id").isNotNull(), "_id", "_key", "start")
-    first = places.groupBy("chunk").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("chunk", "first")
-    later = places.join(first, "chunk").where(order > F.col("first"))
+    first = places.groupBy("hot", "chunk").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("chunk", "first", salts)
+    later = places.join(first, ["chunk", "salt"]).where(order > F.col("first"))
     return later.groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
