@@ -14,6 +14,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every taking of op1_source_mix, in the order of training."""
+    return source_mix.training_order(source_mix.takings(source_mix.mix(table(spark, sf_dir, "documents"))))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -61,7 +66,7 @@ m as (select page_id, arg_max(h || q, len(h || q)) rule, arg_max(verdict, len(h
 select p.page_id, host, path, rule, coalesce(verdict, 'allow') verdict from p left join m on p.page_id = m.page_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_warc, op4_lm_score, op5_minhash, op6_decontaminate, op7_suffix_dedup, op8_line_dedup, op9_embedding_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op1_training_order, op2_url_filter, op3_warc, op4_lm_score, op5_minhash, op6_decontaminate, op7_suffix_dedup, op8_line_dedup, op9_embedding_dedup, op10_language_id)}
 
 WARC_ORACLE = """
 with p as (select page_id, coalesce(html, '') h from pages),

@@ -8,7 +8,12 @@ the excess goes to the other sources by their shares until none is above).
 Within a source the documents stand in the order of a digest of their id and
 are taken again and again until the demand is met: each taking is an
 occurrence.  The point of the schedule at which the demand reaches the middle
-of an occurrence is its training position.
+of an occurrence is its training position; every occurrence has one.
+
+Without a schedule the weights are tilted over the training by CURRICULUM: at
+each time a source's share is its weight's, more or less by a part that depends
+on its rank.  At each time these parts cancel out over the sources, and over
+[0, 1] they do for each source, so that the integrals are the weights.
 
 All of it is DataFrame operations.  The running sum of words in a source is
 made in two steps (by digest prefix, then within a prefix), so that a source
@@ -30,6 +35,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2.0
+#: times and tilts, linear in between, with the integral 0: sources of low rank stand earlier
+CURRICULUM = ((0.0, -0.8), (0.25, -0.8), (0.75, 0.8), (1.0, 0.8))
 #: hexadecimal digits of the digest that deal a source's rows; 4096 runs a source
 PREFIX = 3
 
@@ -49,7 +56,7 @@ def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 def _schedules(sources: DataFrame, weights: tuple[float, ...], schedule: list[tuple[float, tuple[float, ...]]] | None) -> tuple[DataFrame, list[float]]:
     """sources with w0.. (the share of all weights at each time) and share (the integral)."""
-    knots = schedule or [(0.0, weights), (1.0, weights)]
+    knots = schedule or [(t, weights) for t, _ in CURRICULUM]
     times = [t for t, _ in knots]
     if times != sorted(set(times)) or times[0] != 0 or times[-1] != 1:
         raise ValueError("times of a schedule begin at 0, end at 1 and grow")
@@ -63,7 +70,12 @@ def _schedules(sources: DataFrame, weights: tuple[float, ...], schedule: list[tu
             out = out.withColumn(f"w{k}", F.col(f"w{k}") / F.sum(f"w{k}").over(all_rows))
         share = sum(((F.col(f"w{k}") + F.col(f"w{k + 1}")) * F.lit((times[k + 1] - times[k]) / 2) for k in range(len(knots) - 1)), F.lit(0.0))
     else:
-        share = F.col("w0")
+        share = F.col("weight")
+        lead = F.pmod("rank", F.lit(len(weights))) / F.lit(max(len(weights) - 1, 1))
+        out = out.withColumn("weight", F.col("w0")).withColumn("lead", lead)
+        out = out.withColumn("lead", F.col("lead") - F.sum(F.col("weight") * F.col("lead")).over(Window.partitionBy()) / F.sum("weight").over(Window.partitionBy()))
+        for k, (_, tilt) in enumerate(CURRICULUM):
+            out = out.withColumn(f"w{k}", F.col("weight") * (1 + F.lit(tilt) * F.col("lead")))
     return out.withColumn("share", share), times
 
 
@@ -117,7 +129,7 @@ def _place(at: Column, times: list[float]) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS, schedule: list[tuple[float, tuple[float, ...]]] | None = None) -> DataFrame:
-    """A row for each document: doc_id, size, source_size, target, taken, n_epochs and position (of its first occurrence; null if it isn't taken)."""
+    """A row for each document: doc_id, size, source_size, target, taken, n_epochs, position (of its first occurrence; null if it isn't taken) and positions (of each occurrence)."""
     sized = sizes(docs)
     per, times = targets(sized, weights, total_share, max_epochs, schedule)
     prefix = F.substring("digest", 1, PREFIX)
@@ -132,12 +144,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
     rest = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     rows = rows.withColumn("before", before).withColumn("whole", whole).withColumn("rest", rest).withColumn("part", part)
-    middle = (F.col("before") + F.when(F.col("whole") > 0, F.col("size")).otherwise(F.col("part")) / 2) / F.col("target")
     taken = F.col("whole") * F.col("size") + F.col("part")
+    n_epochs = F.when(taken > 0, F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).otherwise(0)
+    middle = lambda j: (j * F.col("source_size") + F.col("before") + F.when(j < F.col("whole"), F.col("size")).otherwise(F.col("part")) / 2) / F.col("target")
+    positions = F.when(taken > 0, F.transform(F.sequence(F.lit(0).cast("long"), n_epochs - 1), lambda j: _place(middle(j), times))).otherwise(F.array().cast("array<double>"))
     return rows.select(
         "doc_id", "size", "source_size", "target", taken.alias("taken"), "source",
-        (F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).alias("n_epochs"), F.when(taken > 0, _place(middle, times)).alias("position"),
-    )
+        n_epochs.alias("n_epochs"), positions.alias("positions"), "whole", "part",
+    ).select("doc_id", "size", "source_size", "target", "taken", "source", "n_epochs", F.get("positions", F.lit(0)).alias("position"), "positions", "whole", "part")
 
 
 def training_order(mixed: DataFrame, partitions: int = 64) -> DataFrame:
@@ -146,6 +160,12 @@ def training_order(mixed: DataFrame, partitions: int = 64) -> DataFrame:
     return mixed.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
+def takings(mixed: DataFrame) -> DataFrame:
+    """doc_id, source, epoch (from 0), words and position of each occurrence; no row for what isn't taken."""
+    rows = mixed.select("doc_id", "source", "size", "whole", "part", F.posexplode("positions").alias("epoch", "position"))
+    return rows.select("doc_id", "source", "epoch", F.when(F.col("epoch") < F.col("whole"), F.col("size")).otherwise(F.col("part")).alias("words"), "position")
+
+
 ORACLE = """
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) size, md5(coalesce(cast(doc_id as varchar), '')) digest from {documents}),
 s as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 rank from d group by source),

@@ -54,6 +54,28 @@ def test_source_mix(spark):
     assert place["a"] < place["b"]
 
 
+def test_source_mix_takings(spark, tmp_path):
+    """Every taken word has a position; the schedule varies with time, its integrals are the weights."""
+    from circlet.llm import queries
+
+    rng = random.Random(2)
+    texts = [" ".join(_words(rng, rng.randrange(1, 60))) for _ in range(900)] + ODD
+    _docs(spark, texts, sources=["a" if i % 9 == 0 else "b" if i % 2 else "c" for i in range(len(texts))]).write.parquet(str(tmp_path / "documents.parquet"))
+    mixed = {r.doc_id: r for r in queries.source_mix.mix(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
+    rows = queries.QUERIES["op1_training_order"](spark, str(tmp_path)).collect()
+    words, n, early = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in rows:
+        words[r.doc_id] += r.words
+        n[r.doc_id] += 1
+        early[r.source, r.position < 0.5] += r.words
+    assert all((words[i], n[i], len(r.positions)) == (r.taken, r.n_epochs, r.n_epochs) for i, r in mixed.items())
+    assert max(n.values()) == 2 and all(r.positions == sorted(r.positions) for r in mixed.values())
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    # lead: 0, 1/2 and 1 less their weighted mean, 1/4; the first half of the tilt is -0.3 in all
+    for source, lead in (("a", -0.25), ("b", 0.25), ("c", 0.75)):
+        assert abs(early[source, True] / (early[source, True] + early[source, False]) - (0.5 - 0.3 * lead)) < 0.02
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://WWW.Example.com/en/72?q", "https://example.com/en/8#x", "ftp://a.example.net/de/81", "x://b.net/de/", "http://net", "http://org/es/a/b", "http://myorg/es/", "http://com/en"]
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
