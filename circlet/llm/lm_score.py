@@ -1,13 +1,19 @@
 """Language-model scoring by cross-entropy difference.
 
 Two interpolated bigram models, of the target (rows known to be good) and of
-the background (all rows), share one vocabulary: words hashed into VOCABULARY
-numbers, bigrams into BIGRAMS bins.  A document's score is the mean over its
-words of loss under the target less loss under the background, in nats: the
-lower, the more it is like the target.
-
-Counts are gathered over every row with a Spark aggregation; the models are
-tables of a fixed size, however large the corpus, and are broadcast.
+the background (all rows), share one vocabulary: all words of the background,
+by 64-bit hashes.  A document's score is the mean over its words of loss under
+the target less loss under the background, in nats: the lower, the more it is
+like the target.
+
+Words and bigrams are counted by Spark aggregations into written tables that
+grow with the input; only totals reach the driver.  Bigrams are dealt by a hash
+over PASSES steps: each counts its bigrams, gives them their losses by joins
+with the words, joins these with the documents' own bigrams (counted within
+each document) and keeps sums by document, so that the disk holds a part of all
+bigrams at a time.  A word or bigram with more than 1/HOT_PARTS of the rows is
+hot; there are fewer than HOT_PARTS of them, and their rows are dealt over
+SALTS tasks.
 
 Defined results: a null text or one without words has n_words 0 and a null
 score.  Without target rows both models are smoothed to the same, and scores
@@ -16,31 +22,34 @@ tell the background's loss only.  Repeated rows count each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import discard, free_shuffles, materialise, small_batches
+from .source_mix import word_count
 
-VOCABULARY = 1 << 16
-BIGRAMS = 1 << 18
+PASSES = 6
 MIXED = 0.7
 SMOOTHING = 0.1
+HOT_PARTS = 1000
+SALTS = 64
 _START = 0
 _CACHE = 500_000
 
 
 class _Numbers(dict):
-    """Word to number; forgets all when it has grown large."""
+    """Word to number, a 64-bit hash; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > _CACHE:
             self.clear()
-        self[word] = n = 1 + xxhash.xxh64_intdigest(word) % (VOCABULARY - 1)
+        n = xxhash.xxh64_intdigest(word)
+        self[word] = n = (n - (1 << 64) if n >> 63 else n) or 1
         return n
 
 
@@ -53,78 +62,140 @@ def word_numbers(text: str | None, known: dict) -> np.ndarray:
     return out
 
 
-def bigram_bins(numbers: np.ndarray) -> np.ndarray:
-    pair = numbers[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + numbers[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+def _pass_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    pair = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     pair ^= pair >> np.uint64(29)
     pair *= np.uint64(0xBF58476D1CE4E5B9)
-    return (pair >> np.uint64(24)).astype(np.int64) % BIGRAMS
+    return (pair >> np.uint64(32)) % np.uint64(PASSES)
+
+
+def _counted(keys: list[np.ndarray], sums: list[np.ndarray]) -> list[np.ndarray]:
+    """Each distinct row of keys once, with its sums."""
+    if not len(keys[0]):
+        return [*keys, *sums]
+    order = np.lexsort(keys)
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    starts = np.flatnonzero(new)
+    return [k[starts] for k in keys] + [np.add.reduceat(x[order], starts) for x in sums]
+
+
+WORDS = ("word_background", "word_target", "history_background", "history_target")
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """kind (0 word, 1 history, 2 bigram), bin, and how often in the background and in the target."""
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """word, and how often it stands in the background and in the target: as a word, as a history."""
     known = _Numbers()
-    total = {(kind, own): np.zeros(BIGRAMS if kind == 2 else VOCABULARY, np.int32) for kind in range(3) for own in (False, True)}
     for batch in batches:
-        for own in (False, True):
-            texts = [word_numbers(t, known) for t in batch["text"][batch["own"] == own]]
-            texts = [t for t in texts if len(t) > 1]
-            for lo in range(0, len(texts), 64):
-                part = texts[lo : lo + 64]
-                for kind, of in ((0, lambda t: t[1:]), (1, lambda t: t[:-1]), (2, bigram_bins)):
-                    np.add.at(total[kind, own], np.concatenate([of(t) for t in part]), 1)
-    for kind in range(3):
-        rest, own = total[kind, False], total[kind, True]
-        (used,) = np.nonzero(rest + own)
-        for lo in range(0, len(used), 100_000):
-            at = used[lo : lo + 100_000]
-            yield pd.DataFrame({"kind": kind, "bin": at, "background": rest[at].astype(np.int64) + own[at], "target": own[at].astype(np.int64)})
-
-
-def train(docs: DataFrame, target: DataFrame) -> dict[str, np.ndarray]:
-    """Counts of both models.  target: a doc_id for each row of the target."""
-    small_batches(docs.sparkSession)
-    own = target.select("doc_id").distinct().select(F.col("doc_id").alias("_own"))
-    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_own"), "left").select("text", F.col("_own").isNotNull().alias("own"))
-    counts = rows.mapInPandas(_count, "kind int, bin int, background long, target long").groupBy("kind", "bin").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toPandas()
-    model = {}
-    for kind, name in enumerate(("word", "history", "bigram")):
-        part = counts[counts["kind"] == kind]
-        for side in ("background", "target"):
-            model[f"{name}_{side}"] = table = np.zeros(BIGRAMS if kind == 2 else VOCABULARY, np.float32)
-            table[part["bin"].to_numpy()] = part[side].to_numpy()
-    return model
+        texts = [word_numbers(t, known) for t in batch["text"]]
+        lengths = np.array([len(t) - 1 for t in texts], np.int64)
+        own = np.repeat(batch["own"].to_numpy(bool), lengths).astype(np.int64)
+        now, before = np.concatenate([t[1:] for t in texts]), np.concatenate([t[:-1] for t in texts])
+        one, none = np.ones(len(now), np.int64), np.zeros(len(now), np.int64)
+        sums = [np.concatenate(x) for x in ((one, none), (own, none), (none, one), (none, own))]
+        yield pd.DataFrame(dict(zip(("word", *WORDS), _counted([np.concatenate((now, before))], sums), strict=True)))
+
+
+def _bigrams(step: int, by_text: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """first, second and, by the text's key, n, or else background and target: the counts within a batch of a pass's bigrams."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Numbers()
+        for batch in batches:
+            texts = [word_numbers(t, known) for t in batch["text"]]
+            lengths = np.array([len(t) - 1 for t in texts], np.int64)
+            first, second = np.concatenate([t[:-1] for t in texts]), np.concatenate([t[1:] for t in texts])
+            here = _pass_of(first, second) == step
+            value = np.repeat(batch["key" if by_text else "own"].to_numpy().astype(np.int64), lengths)[here]
+            first, second = first[here], second[here]
+            one = np.ones(len(first), np.int64)
+            names = ("first", "second", "key", "n") if by_text else ("first", "second", "background", "target")
+            found = _counted([first, second, value], [one]) if by_text else _counted([first, second], [one, value])
+            yield pd.DataFrame(dict(zip(names, found, strict=True)))
+
+    return count
 
-def losses(numbers: np.ndarray, model: dict[str, np.ndarray], side: str) -> np.ndarray:
-    """Of each word, in nats."""
-    word, history, bigram = (model[f"{n}_{side}"] for n in ("word", "history", "bigram"))
-    alone = (word[numbers[1:]] + SMOOTHING) / (model[f"total_{side}"] + SMOOTHING * VOCABULARY)
-    seen = history[numbers[:-1]].astype(np.float64)
-    after = np.minimum(bigram[bigram_bins(numbers)], seen) / np.maximum(seen, 1)
-    return -np.log(np.where(seen > 0, MIXED * after + (1 - MIXED) * alone, alone))
 
+class Model:
+    """The training rows, a written table of words and the totals.  model[name] collects a column of the words: for small inputs."""
 
-def _with_totals(model: dict[str, np.ndarray]) -> dict:
-    return model | {f"total_{s}": float(model[f"word_{s}"].sum(dtype=np.float64)) for s in ("background", "target")}
+    def __init__(self, docs: DataFrame, rows: DataFrame, words: DataFrame):
+        self.docs, self.rows, self.words = docs, rows, words
+        totals = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in WORDS], F.count(F.when(F.col("word_background") > 0, 1)).alias("n")).first()
+        self.total = {"background": totals["word_background"], "target": totals["word_target"]}
+        #: and one for all words that aren't in it
+        self.vocabulary = totals["n"] + 1
 
+    def __getitem__(self, name: str) -> pd.Series:
+        return self.words.select("word", name).toPandas().set_index("word")[name]
 
-def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+
+def train(docs: DataFrame, target: DataFrame) -> Model:
+    """The words' counts of both models.  target: a doc_id for each row of the target."""
+    small_batches(docs.sparkSession)
+    own = target.select("doc_id").distinct().select(F.col("doc_id").alias("_own"))
+    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_own"), "left").select("text", F.col("_own").isNotNull().alias("own"))
+    words = rows.mapInPandas(_words, "word long, " + ", ".join(f"{c} long" for c in WORDS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in WORDS])
+    return Model(docs, rows, materialise(words, "lm-words"))
+
+
+def _salted(rows: DataFrame, table: DataFrame, hot: DataFrame, keys: list[str], deal: list[str]) -> DataFrame:
+    """rows left joined with table by keys; hot has the keys whose rows are dealt over SALTS tasks, by a hash of deal."""
+    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    salts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
+    rows = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*deal), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    table = table.join(hot, keys, "left").select(*table.columns, salts)
+    return rows.join(table, [*keys, "_salt"], "left").drop("_salt")
+
+
+def _loss(model: Model, side: str) -> Column:
+    """Of a bigram's second word, in nats."""
+    count = lambda c: F.coalesce(F.col(f"{c}_{side}"), F.lit(0))
+    alone = (count("word") + SMOOTHING) / F.lit(float(model.total[side] + SMOOTHING * model.vocabulary))
+    seen = count("history")
+    return -F.log(F.when(seen > 0, MIXED * F.col(side) / seen + (1 - MIXED) * alone).otherwise(alone))
+
+
+def _step(step: int, docs: DataFrame, texts: DataFrame, model: Model) -> DataFrame:
+    """key and both sums of losses over the words of the texts with this key, of one pass."""
+    spark = docs.sparkSession
+    pairs = model.rows.mapInPandas(_bigrams(step, False), "first long, second long, background long, target long")
+    own = texts.mapInPandas(_bigrams(step, True), "first long, second long, key long, n long")
+    if docs is not model.docs:  # bigrams that weren't seen in training have losses too
+        pairs = pairs.unionByName(own.select("first", "second", F.lit(0).alias("background"), F.lit(0).alias("target")))
+    pairs = materialise(pairs.groupBy("first", "second").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "lm-bigrams")
+    free_shuffles(spark)
+    words = model.words
+    hot = lambda c: words.where(F.col(c) * HOT_PARTS > model.total["background"]).select("word")
+    history = words.where("history_background > 0").select(F.col("word").alias("first"), "history_background", "history_target")
+    alone = words.where("word_background > 0").select(F.col("word").alias("second"), "word_background", "word_target")
+    judged = _salted(pairs, history, hot("history_background").withColumnRenamed("word", "first"), ["first"], ["second"])
+    judged = _salted(judged, alone, hot("word_background").withColumnRenamed("word", "second"), ["second"], ["first"])
+    judged = materialise(judged.select("first", "second", "background", *[_loss(model, side).alias(f"{side}_loss") for side in ("target", "background")]), "lm-losses")
+    discard(pairs)
+    often = judged.where(F.col("background") * HOT_PARTS * PASSES > model.total["background"])
+    found = _salted(own, judged.drop("background"), often, ["first", "second"], ["key"])
+    sums = materialise(found.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(c)).alias(c) for c in ("target_loss", "background_loss")]), "lm-sums")
+    discard(judged)
+    free_shuffles(spark)
+    return sums
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (means over the words) and score, their difference."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(_with_totals(model))
-
-    @F.pandas_udf("n_words long, target_loss double, background_loss double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = _Numbers()
-        for batch in batches:
-            n, loss = np.zeros(len(batch), np.int64), np.zeros((2, len(batch)))
-            for i, text in enumerate(batch):
-                numbers = word_numbers(text, known)
-                n[i] = len(numbers) - 1
-                if n[i]:
-                    loss[:, i] = [losses(numbers, held.value, side).mean() for side in ("target", "background")]
-            yield pd.DataFrame({"n_words": n, "target_loss": loss[0], "background_loss": loss[1]})
-
-    found = docs.select("doc_id", judge(F.col("text")).alias("_judged")).select("doc_id", "_judged.*")
+    key = F.xxhash64("text").alias("key")
+    texts = docs.where(F.col("text").isNotNull()).select(key, "text")
+    sums = None
+    for step in range(PASSES):
+        one = _step(step, docs, texts, model)
+        sums = one if sums is None else sums.unionByName(one)
+    # rows of equal texts share a key: their sums and their words are multiples of the same
+    means = sums.groupBy("key").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in ("target_loss", "background_loss")])
+    same = materialise(texts.groupBy("key").agg(F.count("*").alias("n")), "lm-texts")
+    rows = same.agg(F.sum("n")).first()[0] or 0
+    hot = same.where((F.col("n") * HOT_PARTS > rows) & (F.col("n") > SALTS)).select("key")
+    found = _salted(docs.select("doc_id", word_count(F.col("text")).alias("n_words"), key), means, hot, ["key"], ["doc_id"])
     empty = lambda c: F.when(F.col("n_words") > 0, F.col(c)).alias(c)
     return found.select("doc_id", "n_words", empty("target_loss"), empty("background_loss"), F.when(F.col("n_words") > 0, F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -116,6 +116,38 @@ def test_lm_score(spark):
     assert all(r.score is None for r in lm_score.score(docs.where("doc_id = 40"), lm_score.train(docs.limit(0), target.limit(0))).collect())
 
 
+def test_lm_score_counts_every_bigram(spark):
+    """Against a plain model, with more words and bigrams than any table of a fixed size held: 120,000 and more."""
+    import math
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" if k % 3 else "the" for k in range(3000)) for _ in range(70)] + ["the the the The", "the the the The", "w1 unseen"]
+    docs = _docs(spark, texts[:-1])
+    word, before, pair = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    for i, t in enumerate(texts[:-1]):
+        w = t.lower().split()
+        for side in (0, 1) if i < 20 else (0,):
+            word[side].update(w)
+            before[side].update(["", *w[:-1]])
+            pair[side].update(zip(["", *w], w))
+    assert len(word[0]) > 1 << 16
+    size = [sum(c.values()) for c in word]
+
+    def mean(text, side):
+        w, total = text.lower().split(), 0.0
+        for a, b in zip(["", *w], w):
+            alone = (word[side][b] + 0.1) / (size[side] + 0.1 * (len(word[0]) + 1))
+            total -= math.log(0.7 * pair[side][a, b] / before[side][a] + 0.3 * alone if before[side][a] else alone)
+        return total / len(w)
+
+    model = lm_score.train(docs, docs.where("doc_id < 20").select("doc_id"))
+    rows = lm_score.score(_docs(spark, texts), model).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.n_words == len(texts[r.doc_id].split())
+        assert abs(r.target_loss - mean(texts[r.doc_id], 1)) < 1e-9 and abs(r.background_loss - mean(texts[r.doc_id], 0)) < 1e-9
+
+
 def _near(texts, n, percent):
     sets = []
     for t in texts:
