@@ -25,10 +25,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/circlet/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._circlet_path = path
     return out
@@ -96,6 +96,14 @@ def group_bounds(frame, keys: list[str]):
     return np.append(np.flatnonzero(new), len(frame))
 
 
+def groups(batches, keys: list[str]):
+    """A frame for each group of equal keys out of a partition that is sorted by them."""
+    for frame in key_runs(batches, keys):
+        bounds = group_bounds(frame, keys)
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            yield frame.iloc[lo:hi]
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that no longer exist, between two long steps.
 

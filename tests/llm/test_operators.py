@@ -148,6 +148,42 @@ def test_lm_score_counts_every_bigram(spark):
         assert abs(r.target_loss - mean(texts[r.doc_id], 1)) < 1e-9 and abs(r.background_loss - mean(texts[r.doc_id], 0)) < 1e-9
 
 
+def test_lm_score_leaves_itself_out(spark):
+    """Every loss against a plain model of the other rows; repeated rows, shared and null ids, ties, several blocks, clashing columns."""
+    import math
+
+    rng = random.Random(50)
+    words = ["red", "green", "Blue", "é", "x" * 300]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(60)] + ["alone here", "red red", "red red", *ODD]
+    ids = [*range(len(texts) - 2), 3, None]
+    docs = _docs(spark, texts, ids=ids).withColumns({"own": F.lit("z"), "block": F.lit(1), "id": F.lit(2), "n": F.lit(3)})
+    target = spark.createDataFrame([(i,) for i in [*range(0, 60, 3), 61, 61, None]], "doc_id long")
+    own = [i in {*range(0, 60, 3), 61} for i in ids]
+
+    def mean(k, side):
+        word, before, pair = (collections.Counter() for _ in range(3))
+        vocabulary = set()
+        for i, t in enumerate(texts):
+            w = (t or "").encode().lower().split()
+            vocabulary.update(w)
+            if i != k and (own[i] or not side):
+                word.update(w)
+                before.update([b"", *w[:-1]] if w else [])
+                pair.update(zip([b"", *w], w))
+        w, total = texts[k].encode().lower().split(), 0.0
+        for a, b in zip([b"", *w], w):
+            alone = (word[b] + 0.1) / (sum(word.values()) + 0.1 * (len(vocabulary) + 1))
+            total -= math.log(0.7 * pair[a, b] / before[a] + 0.3 * alone if before[a] else alone)
+        return total / len(w)
+
+    rows = lm_score.score(docs, lm_score.train(docs, target, block_words=200)).collect()
+    want = [(ids[k], len(t.split()), round(mean(k, 1), 9), round(mean(k, 0), 9)) if (t or "").split() else (ids[k], 0, None, None) for k, t in enumerate(texts)]
+    got = [(r.doc_id, r.n_words, *(x if x is None else round(x, 9) for x in (r.target_loss, r.background_loss))) for r in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert all(r.score is None if r.n_words == 0 else abs(r.score - (r.target_loss - r.background_loss)) < 1e-12 for r in rows)
+    assert lm_score.score(docs.limit(0), lm_score.train(docs, target)).count() == 0
+
+
 def _near(texts, n, percent):
     sets = []
     for t in texts:
