@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -15,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="circlet-")
@@ -25,10 +29,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/circlet/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for a while; then what it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
+    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
+
+    Spark removes the shuffle files of this write as soon as it has ended, as nothing else reads them.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.options(**(options or {})).parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._circlet_path = path
     return out
@@ -47,11 +69,6 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keeps Arrow batches of long texts small: at most so many rows are in a Python worker at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -104,15 +121,23 @@ def groups(batches, keys: list[str]):
             yield frame.iloc[lo:hi]
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that no longer exist, between two long steps.
+def slices(batches, column: str = "text", chars: int = 1 << 20):
+    """The batches in parts of about so many characters of a column, so that what is made of a part stays small whatever the size of a batch."""
+    import numpy as np
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        part = np.cumsum([len(x) if x is not None else 0 for x in batch[column]]) // chars
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(batch))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.iloc[lo:hi]
+
+
+#: rows of one long that are broadcast (about 100 MB at most); beyond it the join is a shuffle
+BROADCAST_IDS = 2_000_000
 
-    Twice, as the JVM lets go of what Python has dropped only after the first time; the files go in the background.
-    """
-    import gc
-    import time
 
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def few(ids: DataFrame) -> DataFrame:
+    """ids (a narrow table) marked for a broadcast if there are no more than BROADCAST_IDS of them."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import group_bounds, key_runs, materialise, small_batches
+from ._shared import group_bounds, key_runs, materialise
 from .components import components
 
 WIDTH = 2.0
@@ -146,7 +146,6 @@ def _compare(threshold: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.D
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
-    small_batches(vectors.sparkSession, 2048)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     valid = rows.where(_valid(F.col("embedding")) & F.col("vec_id").isNotNull())
     classes = materialise(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight")), "vectors")

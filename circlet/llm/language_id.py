@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
 
 BINS = 1 << 15
 #: n-gram lengths, in UTF-8 bytes
@@ -86,7 +85,6 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages in order, the matrix (BINS + 1, languages; its last row is 0) and the log priors."""
-    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
     there = rows.select("lang").count()
     if there > train_rows:
@@ -129,7 +127,6 @@ def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray, p
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
     """docs with the columns lang_pred and lang_score; columns of these names are replaced."""
     spark = docs.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, lang_score double")

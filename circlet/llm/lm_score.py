@@ -34,17 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import groups, materialise
+from ._shared import few, groups, materialise
 
 MIXED = 0.7
 SMOOTHING = 0.1
-#: words of a block, about; a block is held in memory by one task (some 60 bytes a word)
-BLOCK_WORDS = 1 << 22
+#: words of a block, about; a block is held in memory by one task (some 150 bytes a word)
+BLOCK_WORDS = 1 << 20
 #: buckets of keys, at least; so many more that a bucket gets BUCKET_WORDS words of text at most on average
 BUCKETS = 512
 BUCKET_WORDS = 1 << 23
-#: target ids that are broadcast (8 bytes each); more are joined by a shuffle
-BROADCAST_IDS = 4_000_000
 _START = 0
 _CACHE = 500_000
 WORDS = ("word_background", "word_target", "history_background", "history_target")
@@ -282,8 +280,7 @@ class Model:
 def train(docs: DataFrame, target: DataFrame, block_words: int = BLOCK_WORDS) -> Model:
     """Cuts the training rows (doc_id, text) into blocks.  target: a doc_id for each row of the target."""
     own = target.select(F.col("doc_id").alias("_own")).where("_own is not null").distinct()
-    own = F.broadcast(own) if own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else own
-    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_own"), "left")
+    rows = docs.select("doc_id", "text").join(few(own), F.col("doc_id") == F.col("_own"), "left")
     return Model(docs, cut(rows.select(F.col("doc_id").alias("id"), F.col("_own").isNotNull().alias("own"), "text"), block_words), block_words)
 
 

@@ -3,29 +3,36 @@
 A document is the set of hashes of its word shingles; its sketch is the K
 smallest of them, from one hash function.
 
-1. Documents of equal word sequences are one class, its smallest id stands for it.
+1. Documents of equal word sequences are one class, which has a number.
 2. Inverted lists of the retained values.  A pair at the threshold shares so
    many values (``least_shared``, five standard deviations below the mean)
    that it also shares one of those that are left when each sketch drops its
    most frequent ones; only these make candidates, so that a passage that
    stands in very many documents hardly makes any.
 3. First, lists of up to LIST classes give the pairs of neighbours by size.
-   Longer lists are dealt in blocks and compared by their sketches (here of
-   LARGE values) within a block, and a spanning forest of the pairs that look
-   alike leaves a task.  So a large group of copies gives links in proportion
-   to its size.
+   Of its longer lists a class goes to those of its FIRST_LISTS least values
+   only; they are dealt in blocks and compared by their sketches (here of WIDE
+   values) within a block, and a spanning forest of the pairs that look alike
+   leaves a task.  So a large group of copies gives links in proportion to its
+   size.
 4. The union of two sketches, below the smaller of their last values, gives an
    estimate; what is far below the threshold goes.
 5. The rest is verified on the full sets of shingles.
-6. All lists are compared again: all pairs of a list whose members are in
-   different components by then, and without a forest.  So no pair that looks
-   alike is left unverified, but where its documents are linked already.
+6. All lists that hold several components are compared again: all pairs of a
+   list whose members are in different components by then, and without a
+   forest.  So no pair that looks alike is left unverified, but where its
+   documents are linked already.
+
+Lists with more than 1/HOT_PARTS of all places are hot: there are fewer than
+HOT_PARTS of them, so what is known of them is broadcast to their rows.
 
 Defined results: a null text, an empty one and one without words has an empty
 set and links with nothing; of fewer words than a shingle has, the whole
-sequence is the one shingle.  Rows with a null id are linked like others and
-never stand for a class that has an id; such a row isn't kept unless its class
-has no id.  Rows that share an id and text are one document.
+sequence is the one shingle.  Rows with a null id are linked like others; a
+component's id is the smallest that isn't null.  A row with a null id is kept
+only if its component has no id at all, and then in one class of it.  Rows that
+share an id and text are one document; rows that share an id only are linked
+by their own texts.
 """
 
 from __future__ import annotations
@@ -39,14 +46,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import free_shuffles, group_bounds, key_runs, materialise, small_batches
+from ._shared import discard, few, groups, materialise, slices
 from .components import components
 
 K = 64
 #: values kept of documents in long lists; sets up to that size are compared exactly within the blocks
-LARGE = 512
+WIDE = 128
 LIST = 40
+#: long lists that a class goes to in the first pass
+FIRST_LISTS = 4
 BLOCK = 1024
+#: fewer lists than this can be hot, whatever the input
+HOT_PARTS = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 500_000
 
@@ -89,37 +100,37 @@ def _sketch(n: int, k: int, batches: Iterator[pd.Series]) -> Iterator[pd.DataFra
         for text in batch:
             found = shingle_hashes(text, n, known)
             size.append(len(found))
-            sketch.append(found[:k].view(np.int64))
+            sketch.append(found[:k].view(np.int64).copy())
             same.append(xxhash.xxh128_digest(b" ".join((text or "").encode("utf-8", "replace").lower().split())) if len(found) else None)
         yield pd.DataFrame({"size": size, "sketch": sketch, "same": same})
 
 
 def sketches(docs: DataFrame, shingle: int, k: int = K) -> DataFrame:
-    """doc_id, size, sketch (ascending as unsigned) and same (a digest of the words, null without words) of each row."""
-    small_batches(docs.sparkSession)
+    """doc_id, key (a hash of the text), size, sketch (ascending as unsigned) and same (a digest of the words, null without words) of each row."""
 
     @F.pandas_udf("size long, sketch array<long>, same binary")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return _sketch(shingle, k, batches)
 
-    return materialise(docs.select("doc_id", judge(F.col("text")).alias("s")).select("doc_id", "s.*"), "sketches")
+    return materialise(docs.select("doc_id", F.xxhash64("text").alias("key"), judge(F.col("text")).alias("s")).select("doc_id", "key", "s.*"), "sketches")
 
 
 def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
-    """rep and text of the documents in used (rep)."""
-    return docs.select(F.col("doc_id").alias("rep"), "text").where("text is not null").join(used, "rep", "left_semi").dropDuplicates(["rep"])
+    """rep and text of the classes in used (rep, doc_id, key): ids and hashes only are broadcast or, if many, shuffled with the texts."""
+    rows = docs.select("doc_id", "text").where("text is not null")
+    one = used.select("rep", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    return rows.join(few(one), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).select("rep", "text").dropDuplicates(["rep"])
 
 
-def _large(docs: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
-    """rep and large, a sketch of LARGE values, of the documents in used."""
+def _wide(docs: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
+    """rep and wide, a sketch of WIDE values, of the classes in used."""
 
-    @F.pandas_udf("array<long>")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
-        for batch in batches:
-            yield pd.Series([shingle_hashes(t, shingle, known)[:LARGE].view(np.int64) for t in batch])
+        for part in slices(batches):
+            yield pd.DataFrame({"rep": part["rep"], "wide": [shingle_hashes(t, shingle, known)[:WIDE].view(np.int64).copy() for t in part["text"]]})
 
-    return _texts(docs, used).select("rep", judge("text").alias("large"))
+    return _texts(docs, used).mapInPandas(judge, "rep long, wide array<long>")
 
 
 def estimates(left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
@@ -167,131 +178,125 @@ def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndar
 
 
 def _blocks(percent: int, k: int, forest: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a, b: the pairs of a block of a list, or of two blocks, that look alike and are in different components."""
     floor = _floor(percent, k)
-    for frame in key_runs(batches, ["value", "p", "q"]):
-        bounds = group_bounds(frame, ["value", "p", "q"])
-        out_a, out_b = [], []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            part = frame.iloc[lo:hi]
-            sub, rep, size, component = (part[c].to_numpy() for c in ("sub", "rep", "size", "component"))
-            p, q = part["p"].iloc[0], part["q"].iloc[0]
-            large = _padded(part["large"].to_list(), LARGE)
-            sketch = large[:, :k]
-            values, inverse = np.unique(sketch, return_inverse=True)
-            inverse = inverse.reshape(sketch.shape)
-            often = np.bincount(inverse.ravel(), minlength=len(values)) > 1
-            often[-1] &= values[-1] != np.uint64(0xFFFFFFFFFFFFFFFF)
-            column = np.cumsum(often) - 1
-            has = np.zeros((hi - lo, max(1, int(often.sum()))), np.float32)
-            at = often[inverse]
-            has[np.nonzero(at)[0], column[inverse[at]]] = 1
-            rows = np.arange(hi - lo) if p == q else np.flatnonzero(sub == p)
-            cols = rows if p == q else np.flatnonzero(sub == q)
-            if not len(rows) or not len(cols):
-                continue
-            need = np.array([least_shared(int(s), k, percent) for s in size], np.float32)
-            shared = has[rows] @ has[cols].T
-            fine = (shared >= np.minimum(need[rows][:, None], need[cols][None, :])) & (component[rows][:, None] != component[cols][None, :])
-            fine &= (np.minimum(size[rows][:, None], size[cols][None, :]) * 100) >= (np.maximum(size[rows][:, None], size[cols][None, :]) * percent)
-            if p == q:
-                fine &= np.tri(len(rows), k=-1, dtype=bool).T
+    for part in groups(batches, ["value", "p", "q"]):
+        sub, rep, size, component = (part[c].to_numpy() for c in ("sub", "rep", "size", "component"))
+        p, q, here = part["p"].iloc[0], part["q"].iloc[0], part["value"].iloc[0]
+        rows = np.arange(len(part)) if p == q else np.flatnonzero(sub == p)
+        cols = rows if p == q else np.flatnonzero(sub == q)
+        if not len(rows) or not len(cols):
+            continue
+        wide = _padded(part["wide"].to_list(), WIDE)
+        sketch = wide[:, :k]
+        values, inverse = np.unique(sketch, return_inverse=True)
+        inverse = inverse.reshape(sketch.shape)
+        often = np.bincount(inverse.ravel(), minlength=len(values)) > 1
+        often[-1] &= values[-1] != np.uint64(0xFFFFFFFFFFFFFFFF)
+        column = np.cumsum(often) - 1
+        has = np.zeros((len(part), max(1, int(often.sum()))), np.float32)
+        at = often[inverse]
+        has[np.nonzero(at)[0], column[inverse[at]]] = 1
+        need = np.array([least_shared(int(s), k, percent) for s in size], np.float32)
+        shared = has[rows] @ has[cols].T
+        fine = (shared >= np.minimum(need[rows][:, None], need[cols][None, :])) & (component[rows][:, None] != component[cols][None, :])
+        fine &= (np.minimum(size[rows][:, None], size[cols][None, :]) * 100) >= (np.maximum(size[rows][:, None], size[cols][None, :]) * percent)
+        if p == q:
+            fine &= np.tri(len(rows), k=-1, dtype=bool).T
+        if not forest and fine.any():
             # a pair that shares several lists is looked at in that of the least value
-            before = np.zeros((hi - lo, len(values)), np.float32)
-            here = part["value"].iloc[0]
+            before = np.zeros((len(part), len(values)), np.float32)
             for r, own in enumerate(part["places"]):
                 own = np.asarray(own, np.int64)
                 before[r, np.searchsorted(values, own[own < here].view(np.uint64))] = 1
             before = before[:, before.any(axis=0)]
             fine &= before[rows] @ before[cols].T == 0
-            i, j = np.nonzero(fine)
-            if not len(i):
-                continue
-            i, j = rows[i], cols[j]
-            about = np.concatenate([estimates(sketch[i[x : x + 16384]], sketch[j[x : x + 16384]], k) for x in range(0, len(i), 16384)])
-            i, j = i[about >= floor], j[about >= floor]
-            if not len(i):
-                continue
-            about = np.concatenate([estimates(large[i[x : x + 2048]], large[j[x : x + 2048]], LARGE) for x in range(0, len(i), 2048)])
-            exact = np.maximum(size[i], size[j]) <= LARGE
-            alike = about >= np.where(exact, percent / 100 - 1e-9, _floor(percent, LARGE))
-            i, j, about = i[alike], j[alike], about[alike]
-            if not len(i):
-                continue
-            if forest and len(i) > 2 * (hi - lo):
-                kept = _forest(i, j, about, hi - lo)
-                i, j = i[kept], j[kept]
-            out_a.append(np.minimum(rep[i], rep[j]))
-            out_b.append(np.maximum(rep[i], rep[j]))
-        if out_a:
-            yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-
-def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """rows of the lists that hold several components, and the component of each row."""
-    rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
-    return rows.join(several, "value")
-
-
-def _long_lists(places: DataFrame, sizes: DataFrame, reps: DataFrame, label: DataFrame | None, percent: int, k: int) -> DataFrame:
-    """a, b: pairs out of the lists of more than LIST classes, label: node and component of those that are linked.
-
-    Without label each row is in one block, by a hash of the list as well, so that the members of a group meet
-    in other blocks of their other lists.  With it, rows of a list's largest component meet those outside it
-    only, and those outside it meet each other.
+        i, j = np.nonzero(fine)
+        i, j = rows[i], cols[j]
+        alike, about = np.zeros(len(i), bool), np.zeros(len(i))
+        for x in range(0, len(i), 8192):
+            a, b = i[x : x + 8192], j[x : x + 8192]
+            sure = estimates(sketch[a], sketch[b], k) >= floor
+            a, b = a[sure], b[sure]
+            close = estimates(wide[a], wide[b], WIDE)
+            exact = np.maximum(size[a], size[b]) <= WIDE
+            at = x + np.flatnonzero(sure)
+            alike[at], about[at] = close >= np.where(exact, percent / 100 - 1e-9, _floor(percent, WIDE)), close
+        i, j, about = i[alike], j[alike], about[alike]
+        if forest and len(i) > 2 * len(part):
+            kept = _forest(i, j, about, len(part))
+            i, j = i[kept], j[kept]
+        if len(i):
+            yield pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+
+
+def _by_list(rows: DataFrame, lists: DataFrame, total: int) -> DataFrame:
+    """rows joined with lists (value, n and more, a row for each) by value, those of hot lists by a broadcast."""
+    hot = F.col("n") * HOT_PARTS > total
+    often = F.broadcast(lists.where(hot))
+    return rows.join(F.broadcast(lists.where(hot).select("value")), "value", "left_anti").join(lists.where(~hot), "value").unionByName(rows.join(often, "value"))
+
+
+def _first_pairs(places: DataFrame, lists: DataFrame, wide: DataFrame, total: int, percent: int, k: int) -> DataFrame:
+    """a, b: neighbours by size in the short lists; forests of the blocks of the long ones.
+
+    The block is a hash of the list as well, so that the members of a group meet in other blocks of their other lists.
     """
+    rows = _by_list(places, lists, total)
+    by_size = Window.partitionBy("value").orderBy("size", "rep")
+    one = rows.where(F.col("n") <= LIST).select(F.struct("rep", "size").alias("x"), F.lag(F.struct("rep", "size")).over(by_size).alias("y")).where("y is not null")
+    short = one.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b"))
+    least = Window.partitionBy("rep").orderBy("value")
+    long = rows.where(F.col("n") > LIST).withColumn("place", F.row_number().over(least)).where(F.col("place") <= FIRST_LISTS)
+    long = long.withColumn("p", F.pmod(F.xxhash64("rep", "value"), F.ceil(F.col("n") / BLOCK)).cast("int")).select("value", "rep", F.col("rep").alias("component"), F.col("p").alias("sub"), "p", F.col("p").alias("q"))
+    return _sized(short, percent), _compared(long.join(wide, "rep"), percent, k, True)
+
+
+def _second_pairs(places: DataFrame, lists: DataFrame, label: DataFrame, wide: DataFrame, total: int, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: all pairs of a list between different components.  Rows of a long list's largest component meet those outside it only."""
+    rows = materialise(places.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "places")
+    counts = rows.groupBy("value", "component").agg(F.count("*").alias("n")).groupBy("value")
+    open_lists = counts.agg(F.sum("n").alias("n"), F.count("*").alias("several"), F.max(F.struct("n", "component")).alias("top")).where("several > 1")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    open_lists = materialise(open_lists.select("value", "n", F.col("top.component").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("m"), blocks(F.col("top.n")).alias("m_main")), "lists")
+    rows = _by_list(rows, open_lists, total)
+    short = rows.where(F.col("n") <= LIST)
+    a, b = (short.select("value", F.col("rep").alias(r), F.col("size").alias(f"size_{r}"), F.col("component").alias(f"component_{r}")) for r in ("a", "b"))
+    short = a.join(b, "value").where("a < b and component_a <> component_b")
+    # blocks of rows outside the largest component are numbered from 0, its own from m
+    is_main = F.col("component") == F.col("main")
+    long = rows.where(F.col("n") > LIST).withColumn("sub", F.when(is_main, F.col("m") + F.pmod(F.xxhash64("rep"), F.col("m_main"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("m"))).cast("int"))
+    upto = F.when(is_main, F.col("m")).otherwise(F.col("m") + F.col("m_main")) - 1
+    pair = F.transform(F.sequence(F.lit(0), upto), lambda o: F.struct(F.least("sub", o).alias("p"), F.greatest("sub", o).alias("q")))
+    long = long.select("value", "rep", "component", "sub", F.explode(pair).alias("pq")).select("value", "rep", "component", "sub", "pq.p", "pq.q")
+    return _sized(short, percent), _compared(long.join(wide, "rep"), percent, k, False)
+
+
+def _sized(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent).select("a", "b").distinct()
+
+
+def _compared(rows: DataFrame, percent: int, k: int, forest: bool) -> DataFrame:
     order = ["value", "p", "q"]
-    rows = places.join(sizes.where(F.col("n") > LIST).select("value"), "value").select("value", "rep")
-    if label is None:
-        lists = sizes.where(F.col("n") > LIST).select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("m"))
-        rows = rows.join(lists, "value").withColumn("p", F.pmod(F.xxhash64("rep", "value"), F.col("m")).cast("int"))
-        rows = rows.select("value", "rep", F.col("rep").alias("component"), F.col("p").alias("sub"), "p", F.col("p").alias("q"))
-    else:
-        rows = _labelled(rows, label)
-        counts = rows.groupBy("value", "component").agg(F.count("*").alias("n"))
-        main = counts.groupBy("value").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-        blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-        main = main.select("value", F.col("top.component").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("m"), blocks(F.col("top.n")).alias("m_main"))
-        rows = rows.join(main, "value").withColumn("is_main", F.col("component") == F.col("main"))
-        # blocks of rows outside the largest component are numbered from 0, its own from m
-        rows = rows.withColumn("sub", F.when(F.col("is_main"), F.col("m") + F.pmod(F.xxhash64("rep"), F.col("m_main"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("m"))).cast("int"))
-        upto = F.when(F.col("is_main"), F.col("m")).otherwise(F.col("m") + F.col("m_main")) - 1
-        pair = F.transform(F.sequence(F.lit(0), upto), lambda o: F.struct(F.least("sub", o).alias("p"), F.greatest("sub", o).alias("q")))
-        rows = rows.select("value", "rep", "component", "sub", F.explode(pair).alias("pq")).select("value", "rep", "component", "sub", "pq.p", "pq.q")
-    rows = rows.join(reps, "rep").repartition(*order).sortWithinPartitions(*order)
-    forest = label is None
-    return rows.mapInPandas(lambda b: _blocks(percent, k, forest, b), "a long, b long").distinct()
-
-
-def _short_lists(places: DataFrame, sizes: DataFrame, reps: DataFrame, label: DataFrame | None, percent: int, k: int) -> DataFrame:
-    """a, b: pairs out of the lists of up to LIST classes.  Without label: neighbours by size; with it: all between different components."""
-    short = places.join(sizes.where(F.col("n") <= LIST).select("value"), "value")
-    if label is None:
-        by_size = Window.partitionBy("value").orderBy("size", "rep")
-        one = short.select(F.struct("rep", "size").alias("x"), F.lag(F.struct("rep", "size")).over(by_size).alias("y")).where("y is not null")
-        pairs = one.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b"))
-    else:
-        short = _labelled(short, label)
-        a, b = (short.select("value", F.col("rep").alias(r), F.col("size").alias(f"size_{r}"), F.col("component").alias(f"component_{r}")) for r in ("a", "b"))
-        pairs = a.join(b, "value").where("a < b and component_a <> component_b")
-    pairs = pairs.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent).select("a", "b").distinct()
-    own = lambda r: reps.select(F.col("rep").alias(r), F.col("sketch").alias(f"sketch_{r}"))
-    alike = _estimate_column(percent, k)
-    return pairs.join(own("a"), "a").join(own("b"), "b").where(alike("sketch_a", "sketch_b")).select("a", "b")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInPandas(lambda b: _blocks(percent, k, forest, b), "a long, b long").distinct()
 
 
-def _estimate_column(percent: int, k: int):
+def _alike(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs whose sketches don't speak against them."""
     floor = _floor(percent, k)
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series(estimates(_padded(left.to_list(), k), _padded(right.to_list(), k), k) >= floor)
 
-    return alike
+    own = lambda r: reps.select(F.col("rep").alias(r), F.col("sketch").alias(f"sketch_{r}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").where(alike("sketch_a", "sketch_b")).select("a", "b")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """a, b: the pairs whose sets of shingles are similar.  texts: rep and text."""
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """a, b: the pairs whose sets of shingles are similar."""
+    used = reps.select("rep", "doc_id", "key").join(few(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi")
+    texts = _texts(docs, used)
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
 
     @F.pandas_udf("boolean")
@@ -308,52 +313,56 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     return both.withColumn("ok", similar("text_a", "text_b")).where("ok").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
-    spark = docs.sparkSession
+def _linked(docs: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
+    """doc_id, key, n_shingles, component_id and kept of each row."""
     sketched = sketches(docs, shingle, k)
-    classes = sketched.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    chosen = sketched.join(classes.withColumnRenamed("same", "_same"), (F.col("same") == F.col("_same")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    reps = materialise(chosen.select(F.col("doc_id").alias("rep"), "size", "sketch").dropDuplicates(["rep"]), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    classes = sketched.where("same is not null").groupBy("same").agg(first, F.first(F.struct("size", "sketch")).alias("s"))
+    reps = materialise(classes.select(F.monotonically_increasing_id().alias("rep"), "same", "first.doc_id", "first.key", "s.size", "s.sketch"), "classes")
     values = reps.select("rep", "size", F.explode("sketch").alias("value"))
-    sizes = materialise(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    free_shuffles(spark)
+    shared = materialise(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     frequent = Window.partitionBy("rep").orderBy(F.desc("n"), "value")
     t = percent / 100
     m = F.least(F.col("size"), F.lit(k))
     need = F.when(F.col("size") <= t * k, F.ceil(t * F.col("size") - 1e-9)).otherwise(F.floor(t * m - 5 * F.sqrt(t * (1 - t) * m)))
-    places = values.join(sizes, "value").withColumn("place", F.row_number().over(frequent)).where(F.col("place") >= F.greatest(need, F.lit(1))).select("value", "rep", "size")
+    n_places = shared.agg(F.sum("n")).first()[0] or 0
+    places = _by_list(values, shared, n_places).withColumn("place", F.row_number().over(frequent)).where(F.col("place") >= F.greatest(need, F.lit(1))).select("value", "rep", "size")
     places = materialise(places, "places")
-    free_shuffles(spark)
-    sizes = materialise(places.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    in_long = places.join(sizes.where(F.col("n") > LIST).select("value"), "value").select("rep").distinct()
-    listed = materialise(_large(docs, in_long, shingle).join(reps.drop("sketch"), "rep").join(places.groupBy("rep").agg(F.collect_list("value").alias("places")), "rep"), "classes")
-
-    def candidates(label: DataFrame | None) -> DataFrame:
-        return _short_lists(places, sizes, reps, label, percent, k).unionByName(_long_lists(places, sizes, listed, label, percent, k)).distinct()
-
-    first = materialise(candidates(None), "pairs")
-    free_shuffles(spark)
-
-    def texts(of: DataFrame) -> DataFrame:
-        return _texts(docs, of.select(F.col("a").alias("rep")).unionByName(of.select(F.col("b").alias("rep"))).distinct())
-
-    links = materialise(verify(first, texts(first), shingle, percent), "links")
-    label = materialise(components(links), "labels")
-    free_shuffles(spark)
-    again = materialise(candidates(label).join(first, ["a", "b"], "left_anti"), "pairs")
-    if again.limit(1).count():
-        links = links.unionByName(materialise(verify(again, texts(again), shingle, percent), "links"))
-        label = materialise(components(links), "labels")
-    free_shuffles(spark)
-    joined = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("same").alias("_same"), F.coalesce("component", "rep").alias("component"))
-    rows = sketched.join(joined, F.col("same") == F.col("_same"), "left")
-    component = F.coalesce("component", "doc_id")
-    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
-    return rows.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    lists = materialise(places.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    total = lists.agg(F.sum("n")).first()[0] or 0
+    in_long = _by_list(places, lists.where(F.col("n") > LIST), total).groupBy("rep").agg(F.collect_list("value").alias("places"))
+    in_long = materialise(in_long.join(reps.select("rep", "size", "doc_id", "key"), "rep"), "in-long")
+    wide = materialise(_wide(docs, in_long, shingle).join(in_long.select("rep", "size", "places"), "rep"), "wide")
+
+    def links(found: tuple[DataFrame, DataFrame], done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        short, long = (materialise(x, "pairs") for x in found)
+        pairs = _alike(short, reps, percent, k).unionByName(long).distinct()
+        pairs = materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        discard(short)
+        discard(long)
+        return pairs, materialise(verify(pairs, docs, reps, shingle, percent), "links")
+
+    first_pairs, linked = links(_first_pairs(places, lists, wide, total, percent, k), None)
+    label = materialise(components(linked), "labels")
+    more = links(_second_pairs(places, lists, label, wide, total, percent, k), first_pairs)[1]
+    if more.limit(1).count():
+        label = materialise(components(linked.unionByName(more)), "labels")
+    of = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.col("same").alias("_same"), "doc_id", F.coalesce("component", "rep").alias("component"))
+    names = of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("rep").alias("main"))
+    of = of.drop("doc_id").join(names, "component").select("_same", "component_id", (F.col("rep") == F.col("main")).alias("main"))
+    rows = sketched.join(of, F.col("same") == F.col("_same"), "left")
+    nameless = F.col("component_id").isNull() & F.coalesce("main", F.lit(True))
+    component = F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.when(F.col("same").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), nameless))
+    return rows.select("doc_id", "key", F.col("size").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    return _linked(docs, shingle, percent, k).drop("key")
 
 
 def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: that with the smallest id."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group: that with the smallest id.  Rows of one id and text go or stay together."""
+    gone = _linked(docs, shingle, percent, K).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_gone_key")), "left_anti")

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import free_shuffles, group_bounds, key_runs, materialise, small_batches
+from ._shared import group_bounds, key_runs, materialise, slices
 
 LENGTH = 100
 GRAM = 40
@@ -278,16 +278,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _settled(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    small_batches(docs.sparkSession)
     cut = _rows(docs).mapInPandas(lambda b: _cut(length, gram, b), "_id long, _key long, anchor long, h long, place long")
     dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "h", "_id", "_key", F.abs("place"))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")  # of the rows that go to _settle; texts go by fewer, see below
     half = _half(length, gram)
     return materialise(dealt.mapInPandas(lambda b: _settle(half, b), "_id long, _key long, start int, n int, kind int"), "runs")
 
 
 def _late(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
-    small_batches(docs.sparkSession, 2048)
     spans = settled.where("kind = 2").groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     open_rows = _rows(docs).join(spans, ["_id", "_key"]).select("_id", "_key", "text", "spans")
     windows = open_rows.mapInPandas(lambda b: _hash_windows(length, b), "_id long, _key long, w1 long, w2 long, start int")
@@ -300,9 +297,7 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     if length - gram + 1 >= _COUNTS:
         raise ValueError(f"length - gram has to be less than {_COUNTS - 1}")
     settled = _settled(docs, length, gram)
-    free_shuffles(docs.sparkSession)
     late = _late(docs, settled, length)
-    free_shuffles(docs.sparkSession)
     return settled.where("kind = 1").select("_id", "_key", "start", "n").unionByName(late.withColumn("n", F.lit(1)))
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialise, scratch_path, small_batches
+from ._shared import materialise, scratch_path, slices
 
 REVISIT_BYTES = 100
 FILE_BYTES = 256 << 20
@@ -101,7 +101,6 @@ def _write(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record for each row (page_id, url, html) and gives the index, a written table."""
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)).withColumn("long", F.octet_length(F.coalesce("html", F.lit(""))) >= REVISIT_BYTES)
     shared = rows.where("long").groupBy(F.col("digest").alias("_digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -150,7 +149,6 @@ def _read(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 
 def read(index: DataFrame, folder: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and body (empty for revisits) of the records of these index rows."""
-    small_batches(index.sparkSession, 512)
     order = ["file", "stretch", "offset"]
     rows = index.select("file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
     rows = rows.repartition("file", "stretch").sortWithinPartitions(*order)
