@@ -17,7 +17,10 @@ at the smallest hash among the grams inside it, which equal windows share:
 4. The removed bytes of a text are the union of its removed windows.
 
 Hashes of windows and of runs are pairs of 64 bits (polynomials over random
-values of the bytes, at two bases).
+values of the bytes, at two bases); bytes aren't compared.  Among n different
+windows some two are taken for equal with odds of about n * n / 2 ** 129: one
+in 10 ** 13 for 10 ** 13 windows (10 TB).  Runs are compared by 64 bits beside
+the anchor's 64.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing.
 Matches never cross documents.  "Earlier" is by doc_id, then by position; null
@@ -183,7 +186,7 @@ def _cut(length: int, gram: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd
 
     A run that stands in the text before has a negative place: it is removed, whatever others do.
     """
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for i, (text, key) in enumerate(zip(batch["text"], batch["_key"], strict=True)):
             data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -202,6 +205,16 @@ def _cut(length: int, gram: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd
             yield pd.DataFrame(frame | {name: np.concatenate([x[k] for x in out]) for k, name in ((2, "anchor"), (3, "h"), (4, "place"))})
 
 
+def _same(frame: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Whether a row is like the one before it: the same place of a row that is there several times."""
+    out = np.ones(len(frame), bool)
+    out[:1] = False
+    for c in columns:
+        v = frame[c].to_numpy()
+        out[1:] &= v[1:] == v[:-1]
+    return out
+
+
 def _settle(half: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of runs sorted by anchor, hash and place: kind 1, to remove; kind 2, windows to be compared one by one.
 
@@ -226,6 +239,7 @@ def _settle(half: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         return out(part[some], 2, start[some], (end - start)[some])
 
     for frame in key_runs(batches, ["anchor"]):
+        frame = frame[~_same(frame, ["anchor", "h", "_id", "_key", "place"])].reset_index(drop=True)
         again = frame["place"].to_numpy() < 0
         if again.any():
             yield remove(frame[again])
@@ -246,31 +260,34 @@ def _settle(half: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 
 def _hash_windows(length: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """w1, w2 of each window of the rows' runs, and its place."""
-    for batch in batches:
+    for batch in slices(batches):
         parts = []
         for i, (text, spans) in enumerate(zip(batch["text"], batch["spans"], strict=True)):
             data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
             one, two = Rolling(data, 0), Rolling(data, 1)
             start = np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans])
             parts.append((i, _signed(one.of(start, start + length)), _signed(two.of(start, start + length)), start))
-        if parts:
-            at = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-            yield pd.DataFrame({"_id": batch["_id"].to_numpy()[at], "_key": batch["_key"].to_numpy()[at], "w1": np.concatenate([p[1] for p in parts]), "w2": np.concatenate([p[2] for p in parts]), "start": np.concatenate([p[3] for p in parts]).astype(np.int32)})
+        at = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        yield pd.DataFrame({"_id": batch["_id"].to_numpy()[at], "_key": batch["_key"].to_numpy()[at], "w1": np.concatenate([p[1] for p in parts]), "w2": np.concatenate([p[2] for p in parts]), "start": np.concatenate([p[3] for p in parts]).astype(np.int32)})
 
 
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of windows sorted by hashes and place, all but the first of equal ones."""
-    last: tuple[int, int] | None = None
+    """Of windows sorted by hashes and place, all but the first of equal ones; a place that is there several times is one."""
+    held: tuple | None = None
     for frame in batches:
         if not len(frame):
             continue
-        w1, w2 = frame["w1"].to_numpy(), frame["w2"].to_numpy()
-        again = np.zeros(len(frame), bool)
-        again[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
-        again[0] = last == (w1[0], w2[0])
-        last = w1[-1], w2[-1]
-        if again.any():
-            yield frame.loc[again, ["_id", "_key", "start"]]
+        columns = [frame[c].to_numpy() for c in ("w1", "w2", "_id", "_key", "start")]
+        if held is not None:
+            columns = [np.append(h, c) for h, c in zip(held, columns, strict=True)]
+        w1, w2, *place = columns
+        new = np.ones(len(w1), bool)
+        new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = np.logical_or.reduce([c != c[first] for c in place])
+        held = tuple(c[first[-1:]] for c in columns)
+        if later.any():
+            yield pd.DataFrame(dict(zip(("_id", "_key", "start"), (c[later] for c in place), strict=True)))
 
 
 def _rows(docs: DataFrame) -> DataFrame:

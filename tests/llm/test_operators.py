@@ -261,6 +261,26 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.strip(_docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_suffix_dedup_odd_rows(spark):
+    """Repeated rows are one document; null and shared ids: nulls first, then by id, then by a hash of the text."""
+    rng = random.Random(90)
+    part = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    one, two, three = part(400), part(250), part(300)
+    rows = [(1, one), (1, one), (5, two + part(40)), (None, two), (None, two), (2, three), (2, part(20) + three), (7, one[100:350]), (7, one[100:350])]
+    docs = _docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    keys = {r.text: r.k for r in docs.select("text", F.xxhash64("text").alias("k")).collect()}
+    seen, want = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, keys[r[1]])):
+        gone = [False] * len(t)
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                gone[s : s + 100] = [True] * 100
+            seen.add(t[s : s + 100])
+        want[i, t] = "".join(c for c, g in zip(t, gone) if not g)
+    got = collections.Counter((r.doc_id, r.n_bytes, r.kept.decode()) for r in suffix_dedup.strip(docs).collect())
+    assert got == collections.Counter((i, len(t), want[i, t]) for i, t in rows)
+
+
 def test_line_dedup(spark):
     rng = random.Random(10)
     passage = [" ".join(_words(rng, 8)) for _ in range(30)]
