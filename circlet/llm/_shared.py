@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+ARROW_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,10 +47,11 @@ def setting(spark: SparkSession, key: str, value: str):
 def materialise(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
 
-    Spark removes the shuffle files of this write as soon as it has ended, as nothing else reads them.
+    Spark removes the shuffle files of this write as soon as it has ended, as nothing else reads them, and gives
+    Python workers batches of ARROW_BYTES.
     """
-    path = scratch_path(df.sparkSession, label)
-    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES):
         df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._circlet_path = path
@@ -134,6 +136,13 @@ def slices(batches, column: str = "text", chars: int = 1 << 20):
             yield batch.iloc[lo:hi]
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows with an id and a hash of the text in gone (_id, _key); columns of any names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.join(gone.distinct(), F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_key")), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
 #: rows of one long that are broadcast (about 100 MB at most); beyond it the join is a shuffle
 BROADCAST_IDS = 2_000_000
 

@@ -2,16 +2,19 @@
 
 Texts are lower-cased (A-Z) and cut into words of letters a-z, digits and
 non-ASCII characters.  Every run of ``n`` words of a benchmark item, or the
-whole of a shorter item, is a window.  Hashes of the windows are broadcast (if
-there are no more than BROADCAST_WINDOWS, else joined by a shuffle); each run
-of words of a document is looked up by its hash and then compared as text.
+whole of a shorter item, is a window.  Hashes of the windows are broadcast if
+there are no more than BROADCAST_WINDOWS; each run of words of a document, of
+every length that windows have, is looked up by its hash and then compared as
+text.  With more windows the runs' places and hashes, without any text, are
+joined by a shuffle, and only the found ones go back to the documents.
 
 All of it is DataFrame operations.
 
 Defined results: a null or empty text has no words and no hit.  Items that are
 null or without words have no window.  A window of several items counts for
-each; equal item ids count once; null item ids are not listed.  Rows that are
-equal in doc_id and text get equal results.
+each; equal item ids count once; null item ids are not listed, and an item
+without an id is listed nowhere, but its windows hit.  Rows that are equal in
+doc_id and text get equal results.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import without
+
 N = 13
 BROADCAST_WINDOWS = 1_000_000
 #: between words; A-Z are lower-cased later, word by word
@@ -53,7 +58,7 @@ def _runs(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("*", F.explode_outer(F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))).alias("start"))
 
 
-def _run_text(n: int) -> Column:
+def _run_text(n: int | Column) -> Column:
     return F.translate(F.array_join(F.slice("words", F.col("start") + 1, n), " "), _UPPER, _LOWER)
 
 
@@ -65,35 +70,46 @@ def windows(benchmark: DataFrame, n: int = N, item_id: str = "item_id", text: st
     return full.unionByName(short).groupBy("length", "run").agg(F.collect_set("item").alias("items"))
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """_id, _key (a hash of the text), n_words, start, length and items of each place where a window stands in a document.
 
     Each row of docs also gives one row with ``first`` true, be there a window or not.
     """
     held = windows(benchmark, n)
     there = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}  # n rows at most
+    lengths = sorted({n, *there})
+    own = held.withColumn("hashes", F.transform(F.split("run", " "), lambda w: F.xxhash64(w)))
+    own = own.select(F.col("length").alias("_length"), "run", "items", F.coalesce(*[F.when(F.col("length") == k, _hash(k, F.lit(0))) for k in lengths]).alias("hash"))
     rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"), words(F.col(text)).alias("words")).withColumn("hashes", _hashes(F.col("words")))
-    out = None
-    for length in sorted({n, *there}, reverse=True):
-        own = held.where(F.col("length") == length).withColumn("hashes", F.transform(F.split("run", " "), lambda w: F.xxhash64(w))).select(_hash(length, F.lit(0)).alias("hash"), "run", "items")
-        own = F.broadcast(own) if there.get(length, 0) <= BROADCAST_WINDOWS else own
-        runs = _runs(rows, length).withColumn("here", _hash(length, F.col("start")))
+    runs = rows.select("*", F.explode_outer(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))).alias("start"))
+    here = {k: F.when(F.size("words") - F.col("start") >= k, _hash(k, F.col("start"))) for k in lengths}
+    if len(lengths) == 1:
+        runs = runs.select("*", F.lit(n).alias("length"), here[n].alias("here"))
+    else:
+        runs = runs.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("length"), h.alias("here")) for k, h in here.items()])).alias("r")).select("*", "r.length", "r.here")
+    first = F.lit(n) == F.col("length")
+    first = first & (F.coalesce("start", F.lit(0)) == 0)
+    key = (F.col("here") == F.col("hash")) & (F.col("length") == F.col("_length"))
+    out = ["_id", "_key", F.size("words").cast("long").alias("n_words")]
+    if sum(there.values()) <= broadcast_windows:
         # two comparisons instead of an equality, which would become a join key and be computed for every run of words
-        same = (runs["here"] == own["hash"]) & (_run_text(length) <= own["run"]) & (_run_text(length) >= own["run"])
-        first = F.lit(length == n) & (F.coalesce("start", F.lit(0)) == 0)
-        found = runs.join(own, same, "left").where(first | F.col("run").isNotNull())
-        found = found.select("_id", "_key", F.size("words").cast("long").alias("n_words"), first.alias("first"), "start", F.when(F.col("run").isNotNull(), length).alias("length"), "items")
-        out = found if out is None else out.unionByName(found)
-    return out
+        same = (_run_text(F.col("length")) <= F.col("run")) & (_run_text(F.col("length")) >= F.col("run"))
+        found = runs.join(F.broadcast(own), key & same, "left").where(first | F.col("run").isNotNull())
+        return found.select(*out, first.alias("first"), "start", F.when(F.col("run").isNotNull(), F.col("length")).alias("length"), "items")
+    places = runs.where("here is not null").select(F.col("_id").alias("_at"), F.col("_key").alias("_at_key"), "start", "length", "here").distinct()
+    hits = places.join(own, key).groupBy("_at", "_at_key").agg(F.collect_list(F.struct("start", "length", "run", "items")).alias("hits"))
+    back = rows.join(hits, F.col("_id").eqNullSafe(F.col("_at")) & (F.col("_key") == F.col("_at_key"))).select("*", F.explode("hits").alias("h")).select(*rows.columns, "h.*")
+    back = back.where(_run_text(F.col("length")) == F.col("run")).select(*out, F.lit(False).alias("first"), "start", "length", "items")
+    return back.unionByName(rows.select(*out, F.lit(True).alias("first"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("array<string>").alias("items")))
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = 20) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs; also key, a hash of the text.
 
     A document is contaminated if at least one of its words is hit and
     share * n_hit >= n_words.
     """
-    hits = occurrences(docs, benchmark, n).groupBy("_id", "_key").agg(
+    hits = occurrences(docs, benchmark, n, broadcast_windows=broadcast_windows).groupBy("_id", "_key").agg(
         F.max("n_words").alias("n_words"), F.sum(F.col("first").cast("int")).alias("rows"),
         F.array_sort(F.collect_set(F.when(F.col("length").isNotNull(), F.struct("start", "length")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -113,17 +129,23 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = 20) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = 20) -> DataFrame:
     """docs without the contaminated documents."""
-    bad = judge(docs, benchmark, n, share).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_key"]), "left_anti")
+    return without(docs, judge(docs, benchmark, n, share).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """doc_id and kept_words: the words of each document that no window covers."""
-    hits = occurrences(docs, benchmark, n).where("length is not null").groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("words"))
+    """doc_id and kept_words: the words of each document that no window covers, lower-cased (A-Z)."""
+    hits = occurrences(docs, benchmark, n).where("length is not null").groupBy("_id", "_key", "start").agg(F.max("length").alias("length"))
+    hits = hits.groupBy("_id", "_key").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.transform(words(F.col("text")), _lowered).alias("words"))
     rows = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_id"]) & (rows["key"] == hits["_key"]), "left")
-    kept = F.filter(F.transform("words", _lowered), lambda w, i: ~F.exists("spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["length"])))
-    return rows.select("doc_id", F.when(F.col("spans").isNull(), F.col("words")).otherwise(kept).alias("kept_words"))
+    # the words before each span but for those that earlier spans cover (of the last n: starts are different, lengths up to n), and those after the last
+    end = lambda i: F.get("ends", i - 1)
+    ends = F.transform("spans", lambda s: s["start"] + s["length"])
+    rows = rows.withColumn("ends", F.transform(ends, lambda e, i: F.when(i >= F.lit(n), F.array_max(F.slice(ends, i - n + 1, n + 1))).otherwise(F.array_max(F.slice(ends, F.lit(1), i + 1)))))
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(end(i))
+    stop = lambda i: F.coalesce(F.get("spans", i)["start"], F.size("words"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: F.slice("words", begin(i) + 1, F.greatest(F.lit(0), stop(i) - begin(i))))
+    return rows.select("doc_id", F.when(F.col("spans").isNull(), F.col("words")).otherwise(F.flatten(pieces)).alias("kept_words"))
 
 
 ORACLE = """

@@ -2,11 +2,19 @@
 
 Training counts (language, bin) pairs with a Spark aggregation; the
 log-probability matrix (bins x languages, a fixed size for a given label set)
-is broadcast, and texts are scored in numpy, a block of texts at a time.
-
-Defined results: a null text, an empty text and one without any letter is
-``und`` with score 0.  Without labelled rows every text is ``und``.  A row with
-a null id is never held out.  Repeated rows get the same answer each.
+is broadcast, and texts are scored in numpy, a block of texts at a time.  An
+n-gram is of Unicode characters, lower-cased, with spaces for all ASCII
+characters but letters.
+
+Beside the posterior, which is near 1 for any longer text, a text gets its
+fit: the mean log-probability of its n-grams under its language, more or less
+than under equal chances for all bins.  Text of no learned language has a
+negative fit.
+
+Defined results: a null text, an empty text and one without any letter (Unicode
+category L) is ``und`` with score 0 and a null fit.  Without labelled rows every
+text is ``und``.  Of equally likely languages the first by name is given.  A row
+with a null id is never held out.  Repeated rows get the same answer each.
 """
 
 from __future__ import annotations
@@ -21,42 +29,43 @@ from pyspark.sql import functions as F
 
 
 BINS = 1 << 15
-#: n-gram lengths, in UTF-8 bytes
+#: n-gram lengths, in characters
 ORDERS = (2, 3)
 #: training uses every labelled row up to this many; beyond it a hash-selected share of that size
 TRAIN_ROWS = 2_000_000
 UNKNOWN = "und"
 _BLOCK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
-#: lower-cases A-Z and turns every other ASCII character into a space
-_TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
+_WORDLIKE = re.compile(r"[^\W\d_]")
+#: lower-cased; every ASCII character but letters becomes a space
+_ASCII = np.array([c if 97 <= c <= 122 else 32 for c in range(128)], np.uint32)
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Whether a character of a Unicode category L is there."""
+    return text is not None and any(m.group().isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, bytes, start of each text) for runs of texts of about _BLOCK bytes."""
+    """(first text, characters, start of each text) for runs of texts of about _BLOCK characters."""
     first, parts, size = 0, [], 0
     for i, text in enumerate(texts):
-        part = b" " + text.encode("utf-8", "replace").translate(_TABLE) + b" "
+        part = f" {text.lower()} "
         parts.append(part)
         size += len(part)
         if size >= _BLOCK or i == len(texts) - 1:
             starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-            yield first, np.frombuffer(b"".join(parts), np.uint8), starts
+            data = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+            yield first, np.where(data < 128, _ASCII[data & 127], data), starts
             first, parts, size = i + 1, [], 0
 
 
 def _bins(data: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
-    """The bin of the n-gram that begins at each byte; BINS where it would leave its text."""
+    """The bin of the n-gram that begins at each character; BINS where it would leave its text."""
     n = len(data)
     value = np.zeros(n, np.uint32)
-    wide = data.astype(np.uint32)
     for k in range(order):
-        value[: n - k] |= wide[k:] << np.uint32(8 * k)
-    value *= np.uint32(2654435761)
+        value[: n - k] = value[: n - k] * np.uint32(2654435761) + data[k:]
+    value *= np.uint32(2246822519)
     value ^= value >> np.uint32(15)
     value += np.uint32(order * 40503)
     out = (value & np.uint32(BINS - 1)).astype(np.int32)
@@ -106,40 +115,44 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_row
     return langs, matrix.astype(np.float32), prior
 
 
-def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray, prior: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Best language and its posterior for each text."""
-    best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray, prior: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Best language, its posterior and the fit (NaN: none) for each text."""
+    best, score, fit = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
     real = [i for i, t in enumerate(texts) if langs and has_letter(t)]
     for first, data, starts in _blocks([texts[i] for i in real]):
-        total = np.zeros((len(starts), len(langs)))
+        total, n = np.zeros((len(starts), len(langs))), np.zeros(len(starts))
         for order in ORDERS:
             at = _bins(data, starts, order)
+            n += np.add.reduceat(at < BINS, starts, dtype=np.int64)
             for k in range(len(langs)):
                 total[:, k] += np.add.reduceat(matrix[:, k][at], starts, dtype=np.float64)
+        here = np.array(real[first : first + len(starts)])
+        top = (total + prior).argmax(axis=1)
+        fit[here] = total[np.arange(len(top)), top] / n + np.log(BINS)
         total += prior
-        top = total.argmax(axis=1)
         share = 1 / np.exp(np.minimum(total - total.max(axis=1, keepdims=True), 0)).sum(axis=1)
-        for j, (t, s) in enumerate(zip(top, share, strict=True)):
-            best[real[first + j]], score[real[first + j]] = langs[t], min(1.0, max(0.0, float(s)))
-    return best, score
+        score[here] = np.clip(share, 0, 1)
+        for i, t in zip(here, top, strict=True):
+            best[i] = langs[t]
+    return best, score, fit
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """docs with the columns lang_pred and lang_score; columns of these names are replaced."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    """docs with the columns lang_pred, lang_score and lang_fit; columns of these names are replaced."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, lang_score double")
+    @F.pandas_udf("lang_pred string, lang_score double, lang_fit double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs, matrix, prior = held.value
         matrix = np.asfortranarray(matrix)
         for batch in batches:
-            best, score = score_texts(list(batch), langs, matrix, prior)
-            yield pd.DataFrame({"lang_pred": best, "lang_score": score})
+            best, score, fit = score_texts(list(batch), langs, matrix, prior)
+            yield pd.DataFrame({"lang_pred": best, "lang_score": score, "lang_fit": pd.array(fit, "Float64")})
 
+    new = ("lang_pred", "lang_score", "lang_fit")
     found = judge(F.col(text))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score", "_judged")]
-    return docs.select(*kept, found.alias("_judged")).select(*kept, "_judged.lang_pred", "_judged.lang_score")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*new, "_judged")]
+    return docs.select(*kept, found.alias("_judged")).select(*kept, *[f"_judged.{c}" for c in new])
 
 
 def held_out(doc_id) -> F.Column:

@@ -1,11 +1,15 @@
 """Line dedup with content-defined chunks of lines.
 
-A text's lines are hashed; a rolling hash over the last WINDOW line hashes
-ends a chunk wherever it is 0 modulo DIVISOR, so that the same passage is cut
-in the same places wherever it stands.  Chunks of at least MIN_LINES lines
-that stand in several places are found by their hashes, compared byte by byte
-(they are grouped by the chunk itself), and removed from all places but the
-first one (by doc_id, then by line).
+A text's lines are hashed, and a rolling hash over the last WINDOW line hashes
+chooses the places where a chunk of WINDOW lines is taken: where it is 0 modulo
+DIVISOR.  As it depends on the lines only, the same passage gives the same
+chunks wherever it stands.  DIVISOR is 1: with sparser boundaries a passage of a
+few lines mostly has none of its own.  Chunks that stand in several places are
+found by their hashes and compared byte by byte (they are grouped by the chunk
+itself).  Neighbouring chunks that stand elsewhere before make up a run, which
+so is as long as the repetition; runs of MIN_LINES lines or more that aren't
+blank are removed, so that of each repeated passage the first place (by doc_id,
+then by line) stays.
 
 All of it is DataFrame operations, and texts stay in their rows until a chunk
 is known to share its hash with another.  A hash with more than 1/HOT_PARTS of
@@ -13,19 +17,21 @@ all repeated chunks is hot: there are fewer than HOT_PARTS of them, so they can
 be broadcast, and their rows are dealt over SALTS tasks in both joins.
 
 Defined results: a null text stays null and has 0 lines, an empty one has one
-empty line.  Chunks of blank lines only are kept.  Null ids come first.  Rows
-that are equal in doc_id and text count as one document.
+empty line.  A line is blank if it has no other characters than ASCII
+whitespace; runs with fewer than MIN_LINES others stay.  Null ids come first,
+equal ids are ordered by a hash of the text.  Rows that are equal in doc_id and
+text count as one document and are cut alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialise
 
 WINDOW = 2
-DIVISOR = 3
+DIVISOR = 1
 MIN_LINES = 2
 #: fewer hashes than this can be hot, whatever the input
 HOT_PARTS = 1000
@@ -37,62 +43,79 @@ def _line_hash(line: Column) -> Column:
 
 
 def chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """_id, _key (a hash of the text), lines and chunks: start and end (line numbers from 0, both inside) of each chunk."""
+    """_id, _key (a hash of the text), start (line number, from 0) and chunk of each chunk."""
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("lines"))
-    rows = rows.select("*", F.transform("lines", _line_hash).alias("hashes"))
-    last = F.size("lines") - 1
-    here = lambda i: F.pmod(F.get("hashes", i - 1) * 31 + F.get("hashes", i), F.lit(divisor)) == 0
-    rows = rows.select("_id", "_key", "lines", F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | ((i >= WINDOW - 1) & here(i))).alias("cuts"))
-    spans = F.transform("cuts", lambda end, j: F.struct(F.when(j == 0, F.lit(0)).otherwise(F.get("cuts", j - 1) + 1).alias("start"), end.alias("end")))
-    return rows.select("_id", "_key", "lines", spans.alias("chunks"))
-
-
-def removed(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """_id, _key, spans: the chunks of a document that stand elsewhere before."""
-    # explode_outer: for explode, the optimizer would infer a filter that computes the chunks once more
-    one = chunks(docs, divisor).select("_id", "_key", "lines", F.explode_outer("chunks").alias("c")).where(F.col("c.end") - F.col("c.start") + 1 >= min_lines)
-    text = F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start") + 1), "\n")
-    one = one.select("_id", "_key", "c", text.alias("chunk")).where(F.trim("chunk") != "").withColumn("hash", F.xxhash64("chunk"))
+    # explode_outer: for explode, the optimizer would infer a filter that splits the text once more
+    if divisor == 1:
+        starts = F.when(F.size("lines") >= WINDOW, F.sequence(F.lit(0), F.size("lines") - WINDOW))
+    else:
+        rows = rows.select("*", F.transform("lines", _line_hash).alias("hashes"))
+        rolling = lambda i: F.get("hashes", i) * 31 + F.get("hashes", i + 1)
+        starts = F.filter(F.when(F.size("lines") >= WINDOW, F.sequence(F.lit(0), F.size("lines") - WINDOW)), lambda i: F.pmod(rolling(i), F.lit(divisor)) == 0)
+    rows = rows.select("_id", "_key", "lines", F.explode_outer(starts).alias("start")).where("start is not null")
+    return rows.select("_id", "_key", "start", F.concat_ws("\n", *[F.get("lines", F.col("start") + k) for k in range(WINDOW)]).alias("chunk"))
+
+
+def repeated(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """_id, _key, runs: start and end (line numbers, both inside), ascending, of the runs of chunks that stand elsewhere before."""
+    one = chunks(docs, divisor).withColumn("hash", F.xxhash64("chunk"))
     often = materialise(one.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "line-hashes")
     total = often.agg(F.sum("n")).first()[0] or 0
     hot = often.where(F.col("n") * HOT_PARTS > total).select("hash", F.lit(True).alias("hot"))
     salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
     often = often.select("hash", (F.col("n") * HOT_PARTS > total).alias("hot")).select("hash", salts)
-    dealt = F.when(F.col("hot"), F.pmod(F.xxhash64("_id", "_key", "c.start"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    dealt = F.when(F.col("hot"), F.pmod(F.xxhash64("_id", "_key", "start"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     one = one.join(F.broadcast(hot), "hash", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("salt", dealt)
-    places = one.join(often, ["hash", "salt"]).select("_id", "_key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), "chunk", "hot", "salt")
-    places = materialise(places, "line-chunks")
+    places = materialise(one.join(often, ["hash", "salt"]).select("_id", "_key", "start", "chunk", "hot", "salt"), "line-chunks")
     order = F.struct(F.col("_id").isNotNull(), "_id", "_key", "start")
     first = places.groupBy("hot", "chunk").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("chunk", "first", salts)
-    later = places.join(first, ["chunk", "salt"]).where(order > F.col("first"))
-    return later.groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    later = places.join(first, ["chunk", "salt"]).where(order > F.col("first")).select("_id", "_key", "start").distinct()
+    by = Window.partitionBy("_id", "_key").orderBy("start")
+    begins = F.coalesce((F.col("start") > F.lag("start").over(by) + WINDOW).cast("int"), F.lit(1))
+    runs = later.withColumn("begins", begins).withColumn("run", F.sum("begins").over(by))
+    runs = runs.groupBy("_id", "_key", "run").agg(F.min("start").alias("start"), (F.max("start") + WINDOW - 1).alias("end"))
+    return runs.groupBy("_id", "_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+
+
+def _cut(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
+    """row (the columns of docs), lines, runs (what is removed; null: nothing) and text (what is left) of each row."""
+    found = repeated(docs, divisor)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_key")), "left").select("row", "runs")
+    joined = joined.withColumn("lines", F.split("row.text", "\n"))
+    written = lambda r: F.size(F.filter(F.slice("lines", r["start"] + 1, r["end"] - r["start"] + 1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    joined = joined.withColumn("runs", F.filter("runs", lambda r: written(r) >= min_lines))
+    # the lines before each run, and those after the last
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("runs", i - 1)["end"] + 1)
+    end = lambda i: F.coalesce(F.get("runs", i)["start"], F.size("lines"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("runs")), lambda i: F.slice("lines", begin(i) + 1, end(i) - begin(i)))
+    text = F.when(F.coalesce(F.size("runs"), F.lit(0)) <= 0, F.col("row.text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    return joined.select("row", "lines", "runs", text.alias("text"))
 
 
 def dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with the text that is left, and _spans: what was removed (null: nothing)."""
-    spans = removed(docs, divisor, min_lines).withColumnsRenamed({"_id": "_span_id", "_key": "_span_key", "spans": "_spans"})
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_span_id"]) & (F.xxhash64(docs["text"]) == spans["_span_key"]), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i <= s["end"])))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_spans"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("_lines"))
+    """docs with the text that is left."""
+    return _cut(docs, divisor, min_lines).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed (lines), n_chunks (removed) and kept_md5 of each row."""
-    gone = F.aggregate(F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>")), F.lit(0), lambda a, s: a + s["end"] - s["start"] + 1)
-    n_chunks = F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_spans"))
-    return dedup(docs.select("doc_id", "text")).select("doc_id", F.col("_lines").alias("n_lines"), gone.cast("long").alias("n_removed"), n_chunks.cast("long").alias("n_chunks"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+    """doc_id, n_lines, n_removed (lines), n_chunks (runs removed) and kept_md5 of each row."""
+    rows = _cut(docs.select("doc_id", "text"), DIVISOR, MIN_LINES)
+    gone = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<start:int,end:int>>")), F.lit(0), lambda a, s: a + s["end"] - s["start"] + 1)
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return rows.select("row.doc_id", count("lines").alias("n_lines"), gone.cast("long").alias("n_removed"), count("runs").alias("n_chunks"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 ORACLE = """
-with d as (select doc_id, md5(text) k, string_split(text, chr(10)) ls from {documents} where text is not null),
-h as (select *, list_transform(ls, lambda l: cast('0x' || substr(md5(l), 1, 7) as bigint)) hs from d),
-c as (select doc_id, k, ls, list_filter(range(0, len(ls)), lambda i: i = len(ls) - 1 or (i >= 1 and (hs[i] * 31 + hs[i + 1]) % 3 = 0)) cuts from h),
-p as (select doc_id, k, ls, unnest(list_zip(list_prepend(-1, cuts[1 : len(cuts) - 1]), cuts)) z from c),
-s as (select doc_id, k, z[1] + 1 s, z[2] e, array_to_string(ls[z[1] + 2 : z[2] + 1], chr(10)) chunk from p where z[2] - z[1] >= 2),
-r as (select *, row_number() over (partition by chunk order by doc_id nulls first, k, s) n from (select distinct * from s) where trim(chunk) <> ''),
-g as (select doc_id, k, list(s) ss, list(e) es, sum(e - s + 1) n_removed, count(*) n_chunks from r where n > 1 group by 1, 2)
+with d as (select distinct doc_id, md5(text) k, string_split(text, chr(10)) ls from {documents} where text is not null),
+c as (select doc_id, k, ls, unnest(range(1, len(ls))) s from d),
+r as (select doc_id, k, s, row_number() over (partition by ls[s] || chr(10) || ls[s + 1] order by doc_id nulls first, k, s) n from c),
+b as (select doc_id, k, s, case when s <= lag(s) over (partition by doc_id, k order by s) + 2 then 0 else 1 end begins from r where n > 1),
+g as (select doc_id, k, s, sum(begins) over (partition by doc_id, k order by s) run from b),
+u as (select doc_id, k, run, min(s) a, max(s) + 1 z from g group by 1, 2, 3),
+w as (select u.* from u join d on u.doc_id is not distinct from d.doc_id and u.k = d.k where len(list_filter(ls[a:z], lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]'))) >= 2),
+m as (select doc_id, k, sum(z - a + 1) n_removed, count(*) n_chunks, flatten(list(range(a, z + 1))) gone from w group by 1, 2)
 select x.doc_id, cast(coalesce(len(string_split(x.text, chr(10))), 0) as bigint) n_lines, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_chunks, 0) as bigint) n_chunks,
-  md5(case when g.ss is null then x.text else array_to_string(list_transform(list_filter(range(0, len(string_split(x.text, chr(10)))), lambda i: not list_bool_or(list_transform(range(1, len(ss) + 1), lambda j: i >= ss[j] and i <= es[j]))), lambda i: string_split(x.text, chr(10))[i + 1]), chr(10)) end) kept_md5
-from {documents} x left join g on x.doc_id is not distinct from g.doc_id and md5(x.text) = g.k
+  md5(case when gone is null then x.text else array_to_string(list_transform(list_filter(range(1, len(string_split(x.text, chr(10))) + 1), lambda i: not list_contains(gone, i)), lambda i: string_split(x.text, chr(10))[i]), chr(10)) end) kept_md5
+from {documents} x left join m on x.doc_id is not distinct from m.doc_id and md5(x.text) = m.k
 """

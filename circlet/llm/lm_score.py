@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import few, groups, materialise
+from ._shared import discard, few, groups, materialise
 
 MIXED = 0.7
 SMOOTHING = 0.1
@@ -128,7 +128,7 @@ class Block:
         self.first = np.empty_like(self.tokens)
         self.first[1:] = self.tokens[:-1]
         self.first[starts[self.lengths > 0]] = 0
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         #: different bigrams, ascending, and for each word that of which it is the second
         self.pairs, self.pair = np.unique(pair_keys(self.vocabulary[self.first], self.vocabulary[self.tokens]), return_inverse=True)
 
@@ -221,12 +221,12 @@ def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _losses(block: Block, words: np.ndarray, pairs: np.ndarray, totals: dict[str, int], vocabulary: int, leave_out: bool) -> dict[str, np.ndarray]:
     """The sum of losses over each document's words, for both sides."""
     docs, size = len(block.lengths), len(block.vocabulary)
-    code, at, n = np.unique(block.doc * np.int64(max(len(block.pairs), 1)) + block.pair, return_index=True, return_counts=True)
+    code, at, n = np.unique(block.doc.astype(np.int64) * max(len(block.pairs), 1) + block.pair, return_index=True, return_counts=True)
     doc, pair, first, second = block.doc[at], block.pair[at], block.first[at], block.tokens[at]
 
     def own(places: np.ndarray) -> np.ndarray:
         """How often the word stands in the document, for each of its different bigrams."""
-        _, where, counts = np.unique(block.doc * np.int64(size) + places, return_inverse=True, return_counts=True)
+        _, where, counts = np.unique(block.doc.astype(np.int64) * size + places, return_inverse=True, return_counts=True)
         return counts[where[at]]
 
     own_first, own_second = own(block.first), own(block.tokens)
@@ -304,4 +304,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     dealt = both.repartition("block").sortWithinPartitions("block", "bucket")
     # and one word for all that the background doesn't have
     scored = dealt.mapInPandas(_scores(totals, row["n_words"] + 1, leave_out), "id string, n_words long, target_loss double, background_loss double, score double")
+    scored = materialise(scored, "lm-scores")
+    discard(answers)
     return scored.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", "target_loss", "background_loss", "score")

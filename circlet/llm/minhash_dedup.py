@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import discard, few, groups, materialise, slices
+from ._shared import discard, few, groups, materialise, slices, without
 from .components import components
 
 K = 64
@@ -364,5 +364,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
 
 def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group: that with the smallest id.  Rows of one id and text go or stay together."""
-    gone = _linked(docs, shingle, percent, K).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_gone_key")), "left_anti")
+    return without(docs, _linked(docs, shingle, percent, K).where("not kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))

@@ -11,7 +11,7 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mix.report(table(spark, sf_dir, "documents"))
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

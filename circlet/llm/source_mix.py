@@ -22,6 +22,7 @@ with most of the rows is dealt over as many tasks as any other.
 Defined results: a null text has size 0; such a document is taken 0 times.  A
 null source is a source of its own, after all others.  Repeated rows count
 each.  With an empty table the result is empty.  Reruns give the same rows.
+More than MAX_SOURCES sources are refused.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2.0
 #: times and tilts, linear in between, with the integral 0: sources of low rank stand earlier
 CURRICULUM = ((0.0, -0.8), (0.25, -0.8), (0.75, 0.8), (1.0, 0.8))
+#: one row for each source is sorted by one task and broadcast (about 100 bytes)
+MAX_SOURCES = 1_000_000
 #: hexadecimal digits of the digest that deal a source's rows; 4096 runs a source
 PREFIX = 3
 
@@ -45,9 +48,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size and digest of each row; a scan of the whole texts that is written out once."""
+def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, source, size and digest of each row, and what else is carried; a scan of the whole texts that is written out once."""
     rows = docs.select(
+        *[c.alias(name) for name, c in (carry or {}).items()],
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("digest"),
     )
@@ -86,7 +90,9 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share:
     is left over is shared by the rest.  One row per source is sorted here, by
     few tasks: the number of sources doesn't grow with the documents.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    if (n := per.count()) > MAX_SOURCES:
+        raise ValueError(f"{n} sources; at most {MAX_SOURCES} can be mixed")
     per, times = _schedules(per, weights, schedule)
     per = per.withColumn("limit", F.col("source_size") * F.lit(float(max_epochs)))
     by = Window.orderBy(F.col("limit") / F.col("share"), "rank")
@@ -128,9 +134,9 @@ def _place(at: Column, times: list[float]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS, schedule: list[tuple[float, tuple[float, ...]]] | None = None) -> DataFrame:
-    """A row for each document: doc_id, size, source_size, target, taken, n_epochs, position (of its first occurrence; null if it isn't taken) and positions (of each occurrence)."""
-    sized = sizes(docs)
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS, schedule: list[tuple[float, tuple[float, ...]]] | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each document: doc_id, size, source_size, target, taken, source, n_epochs, position (of its first occurrence; null if it isn't taken), positions (of each occurrence), and what is carried: columns of docs by their new names."""
+    sized = sizes(docs, carry=carry)
     per, times = targets(sized, weights, total_share, max_epochs, schedule)
     prefix = F.substring("digest", 1, PREFIX)
     runs = sized.groupBy("source", prefix.alias("prefix")).agg(F.sum("size").alias("run"))
@@ -150,8 +156,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
     positions = F.when(taken > 0, F.transform(F.sequence(F.lit(0).cast("long"), n_epochs - 1), lambda j: _place(middle(j), times))).otherwise(F.array().cast("array<double>"))
     return rows.select(
         "doc_id", "size", "source_size", "target", taken.alias("taken"), "source",
-        n_epochs.alias("n_epochs"), positions.alias("positions"), "whole", "part",
-    ).select("doc_id", "size", "source_size", "target", "taken", "source", "n_epochs", F.get("positions", F.lit(0)).alias("position"), "positions", "whole", "part")
+        n_epochs.alias("n_epochs"), positions.alias("positions"), "whole", "part", *(carry or {}),
+    ).select("doc_id", "size", "source_size", "target", "taken", "source", "n_epochs", F.get("positions", F.lit(0)).alias("position"), "positions", "whole", "part", *(carry or {}))
 
 
 def training_order(mixed: DataFrame, partitions: int = 64) -> DataFrame:
@@ -160,10 +166,17 @@ def training_order(mixed: DataFrame, partitions: int = 64) -> DataFrame:
     return mixed.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
-def takings(mixed: DataFrame) -> DataFrame:
-    """doc_id, source, epoch (from 0), words and position of each occurrence; no row for what isn't taken."""
-    rows = mixed.select("doc_id", "source", "size", "whole", "part", F.posexplode("positions").alias("epoch", "position"))
-    return rows.select("doc_id", "source", "epoch", F.when(F.col("epoch") < F.col("whole"), F.col("size")).otherwise(F.col("part")).alias("words"), "position")
+def report(docs: DataFrame) -> DataFrame:
+    """What each document gives and where in training it stands, sorted by that; positions are rounded to nine digits."""
+    at = lambda j: F.round(F.get("positions", j), 9)
+    rows = training_order(mix(docs))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "n_epochs", at(F.lit(0)).alias("first_position"), at(F.col("n_epochs").cast("int") - 1).alias("last_position"))
+
+
+def takings(mixed: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, source, epoch (from 0), words and position of each occurrence, and columns that were carried; no row for what isn't taken."""
+    rows = mixed.select("doc_id", "source", "size", "whole", "part", *carried, F.posexplode("positions").alias("epoch", "position"))
+    return rows.select("doc_id", "source", *carried, "epoch", F.when(F.col("epoch") < F.col("whole"), F.col("size")).otherwise(F.col("part")).alias("words"), "position")
 
 
 ORACLE = """
@@ -173,9 +186,18 @@ w as (select *, case rank % 3 when 0 then 5.0::double when 1 then 2.0::double el
 l as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(lim) over (order by lim / w, rank rows between unbounded preceding and 1 preceding), 0.0::double))
   / (sum(w) over () - coalesce(sum(w) over (order by lim / w, rank rows between unbounded preceding and 1 preceding), 0.0::double)) as lev from w),
 f as (select *, lim <= lev * w as is_full from l),
-t as (select source, source_size, case when is_full then lim else first_value(lev) over (order by case when is_full then 1 else 0 end, lim / w, rank) * w end target from f),
-r as (select d.doc_id, d.size, t.source_size, t.target, cast(coalesce(sum(d.size) over (partition by d.source order by digest, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as bigint) before,
+t as (select source, source_size, case when is_full then lim else first_value(lev) over (order by case when is_full then 1 else 0 end, lim / w, rank) * w end target,
+  rank % 3 / 2.0::double - sum(w * (rank % 3 / 2.0::double)) over () / sum(w) over () as head_start from f),
+r as (select d.doc_id, d.size, t.source_size, t.target, t.head_start, cast(coalesce(sum(d.size) over (partition by d.source order by digest, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as bigint) before,
   case when t.source_size > 0 then cast(floor(t.target / t.source_size) as bigint) else 0 end whole
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, cast(whole * size + greatest(0, least(size, cast(round(target - whole * source_size) as bigint) - before)) as bigint) taken from r
+  from d join t on d.source is not distinct from t.source),
+p as (select *, greatest(0, least(size, cast(round(target - whole * source_size) as bigint) - before)) part from r),
+n as (select *, cast(whole * size + part as bigint) taken, cast(case when whole * size + part = 0 then 0 when part > 0 then whole + 1 else whole end as bigint) n_epochs from p),
+-- the part of the target before the middle of the first and of the last taking; the shares at the ends and where the middle and the last stretch begin
+m as (select *, 1 - 0.8::double * head_start a, 1 + 0.8::double * head_start b, (before + case when whole > 0 then size else part end / 2.0::double) / target f1,
+  ((n_epochs - 1) * source_size + before + case when n_epochs - 1 < whole then size else part end / 2.0::double) / target f2 from n),
+q as (select *, [f1, f2] fs from m),
+o as (select *, list_transform(fs, lambda f: case when f <= 0.25::double * a then f / a when f > 0.25::double * a + 0.5::double then 0.75::double + (f - 0.25::double * a - 0.5::double) / b
+  else 0.25::double + 2 * (f - 0.25::double * a) / (a + sqrt(greatest(0, a * a + 4 * (b - a) * (f - 0.25::double * a)))) end) ts from q)
+select doc_id, size, source_size, target, taken, n_epochs, case when taken > 0 then round(least(ts[1], 1), 9) end first_position, case when taken > 0 then round(least(ts[2], 1), 9) end last_position from o
 """

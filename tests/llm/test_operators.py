@@ -241,6 +241,41 @@ def test_decontaminate(spark):
     assert decontaminate.judge(_docs(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_plainly(spark):
+    """Windows of several lengths by broadcast and by shuffle, and what is left without them, against a plain version; odd items, repeated rows."""
+    import re
+
+    rng = random.Random(80)
+    word = lambda: rng.choice("abc")
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((3, 3, 4, 5, 13, 14, 20))] + [(2, "B, a; c!"), (None, "c c c c c"), (7, None), (8, ""), (9, "...")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("items", F.lit("x"))
+    texts = [" ".join(word() if k % 17 else "É" for k in range(rng.randrange(60))) for _ in range(40)] + [items[6][1] + " z", items[4][1].upper(), *ODD]
+    ids = [*range(len(texts) - 2), 4, None]
+    docs = _docs(spark, texts, ids=ids).unionByName(_docs(spark, texts[:1])).withColumns({c: F.lit("x") for c in ("start", "length", "words", "hashes", "_key")})
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})))
+    held = {}
+    for i, t in items:
+        w = cut(t)
+        for s in range(max(len(w) - 12, 1) if w else 0):
+            held.setdefault(tuple(w[s : s + 13]), set()).add(i)
+    want = []
+    for i, t in [*zip(ids, texts), (0, texts[0])]:
+        w = cut(t)
+        hit, found = set(), set()
+        for n in {len(g) for g in held}:
+            for s in range(len(w) - n + 1):
+                if (g := tuple(w[s : s + n])) in held:
+                    hit |= set(range(s, s + n))
+                    found |= held[g] - {None}
+        names = ",".join(sorted(map(str, found)))
+        want.append(((i, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)), (i, tuple(x for k, x in enumerate(w) if k not in hit))))
+    for limit in (10**6, 0):
+        got = decontaminate.judge(docs, bench, broadcast_windows=limit).drop("key").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(str(x) for x, _ in want), limit
+    left = [(r.doc_id, tuple(r.kept_words)) for r in decontaminate.remove_spans(docs, bench).collect()]
+    assert sorted(map(str, left)) == sorted(str(x) for _, x in want)
+
+
 def test_suffix_dedup(spark):
     rng = random.Random(9)
     shared = "".join(rng.choice("abcdé ") for _ in range(400))
@@ -294,6 +329,53 @@ def test_line_dedup(spark):
     assert line_dedup.report(docs.limit(0)).count() == 0
 
 
+def _line_dedup(rows):
+    """What is left of each different (id, text), line by line."""
+    seen, out = set(), {}
+    for i, text in rows:
+        lines = text.split("\n")
+        late = {k for k in range(len(lines) - 1) if (lines[k], lines[k + 1]) in seen or (lines[k], lines[k + 1]) in set(zip(lines[:k], lines[1:]))}
+        seen |= set(zip(lines, lines[1:]))
+        covered = sorted(late | {k + 1 for k in late})
+        gone, run = set(), []
+        for k in [*covered, None]:
+            if run and (k is None or k > run[-1] + 1):
+                gone |= set(run) if sum(bool(lines[x].strip(" \t\n\v\f\r")) for x in run) >= 2 else set()
+                run = []
+            run.append(k)
+        out[i, text] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_dedup_short_passages(spark):
+    """Passages of 2 to 5 lines in unlike surroundings go wholly from all places but the first; so do long ones in hot groups."""
+    rng = random.Random(100)
+    line = lambda: " ".join(_words(rng, 12))
+    passages = [[line() for _ in range(n)] for n in (2, 2, 3, 4, 5, 12)]
+    rows = []
+    for i in range(240):
+        lines = [line() for _ in range(rng.randrange(6))] + (rng.choice(passages) if i % 5 else passages[0]) + [line() for _ in range(rng.randrange(6))]
+        rows.append((i, "\n".join(lines)))
+    rows += [(240, "a\na\na\na"), (241, "\t\n\n \n\n"), (242, "\t\n\n \n\n"), (243, "\n" + line()), (244, "x" * 100_000 + "\ny\nx"), (245, "y\nx\nz"), (246, "one line only"), (247, "one line only")]
+    docs = _docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    want = _line_dedup(rows)
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
+    assert got == {i: want[i, t] for i, t in rows}
+    kept = collections.Counter(x for t in got.values() for x in t.split("\n"))
+    assert all(kept[x] == 1 for p in passages for x in p) and got[245] == "z" and got[242] == "\t\n\n \n\n"
+
+
+def test_line_dedup_odd_rows(spark):
+    """Nulls first, then ids; rows that are equal in id and text are one document; clashing columns."""
+    text = "first line\nsecond line\nthird"
+    rows = [(None, text), (1, text), (1, text), (2, "own\n" + text), (None, None), (3, "")]
+    docs = _docs(spark, [t for _, t in rows], ids=[i for i, _ in rows]).withColumns({c: F.lit(c) for c in ("_id", "_key", "runs", "row", "lines", "start")})
+    out = line_dedup.dedup(docs)
+    assert out.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text, r.runs) for r in out.collect()) == collections.Counter([(None, text, "runs"), (1, "", "runs"), (1, "", "runs"), (2, "own", "runs"), (None, None, "runs"), (3, "", "runs")])
+    assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(11)
     base = rng.standard_normal(32)
@@ -340,8 +422,7 @@ def test_pipeline(spark, tmp_path):
         rows = got.collect()
         sql.execute(f"create view {name} as from '{path}-in/*.parquet'")
         ids = collections.Counter(r.doc_id for r in rows)
-        if name != "mix":
-            assert got.columns == docs.columns, name
+        assert got.columns == docs.columns + (["epoch", "words", "position"] if name == "mix" else []), name
         if name == "language_id":
             gone = {r.doc_id for r in before} - set(ids)
             assert {r.doc_id for r in before if not language_id.has_letter(r.text)} <= gone
@@ -358,9 +439,51 @@ def test_pipeline(spark, tmp_path):
             clean = sql.execute("select doc_id from (" + decontaminate.ORACLE.format(documents=name) + ") where not contaminated").fetchall()
             assert ids == collections.Counter(i for (i,) in clean)
         else:
-            want = sql.execute("select doc_id, size, taken from (" + source_mix.ORACLE.format(documents=name) + ")").fetchall()
-            assert sorted(want) == sorted((r.doc_id, r["size"], r.taken) for r in rows)
-            order = [r.position for r in out.collect() if r.position is not None]
-            assert order == sorted(order)
+            # a row for each taking, with the document: its words and the first and last position by SQL
+            want = sql.execute("select doc_id, sum(taken), sum(n_epochs), min(first_position), max(last_position) from (" + source_mix.ORACLE.format(documents=name) + ") where taken > 0 group by 1").fetchall()
+            words, at = collections.Counter(), collections.defaultdict(list)
+            for r in rows:
+                words[r.doc_id] += r.words
+                at[r.doc_id].append(round(r.position, 9))
+            assert sorted(want) == sorted((i, n, ids[i], min(at[i]), max(at[i])) for i, n in words.items())
+            texts = {(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in before}
+            assert {(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in rows} == {t for t in texts if t[0] in words}
+            order = [r.position for r in out.collect()]
+            assert order == sorted(order) and max(ids.values()) > 1
         docs = got
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """run() over documents with columns that clash with inner names and null ids, and over an empty table; noise and other scripts go."""
+    import corpus_pipeline
+
+    clash = ["_file", "_row", "row", "doc", "words", "position", "epoch", "size", "target", "_spans", "_lines", "_judged", "lang_fit", "_gone", "_bad_id", "hashes", "key", "rep", "kept"]
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 60").limit(60)
+    rng = random.Random(70)
+    noise = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)), " ".join("".join(rng.choice("qxzjkw") for _ in range(7)) for _ in range(60))]
+    more = [(10**6 + i, t, None, "src1", 1) for i, t in enumerate(noise)] + [(None, real.first().text + " and one more", "en", "src1", 1), (None, None, None, None, None)]
+    docs = real.unionByName(spark.createDataFrame(more, real.schema)).withColumns({c: F.lit("z") for c in clash})
+    for label, table in (("some", docs), ("none", docs.limit(0))):
+        folder = tmp_path / label
+        table.write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(folder / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(folder))
+        assert out.columns == [c for c in docs.columns if c not in ("words", "position", "epoch")] + ["epoch", "words", "position"]
+        rows = out.collect()
+        if label == "none":
+            assert rows == []
+            continue
+        assert {10**6, 10**6 + 1}.isdisjoint({r.doc_id for r in rows}) and len({r.doc_id for r in rows} - {None}) > 20
+        assert all(r["_file"] == r["size"] == r["kept"] == "z" and r.text and r.words > 0 for r in rows)
+        assert [r.position for r in rows] == sorted(r.position for r in rows)
+        kept = corpus_pipeline.STAGES[0][1](spark, table, str(folder)).collect()
+        assert {r.doc_id for r in table.collect()} - {r.doc_id for r in kept} == {10**6, 10**6 + 1}
+
+
+def test_language_id_letters():
+    """Letters are those of the Unicode categories L; ties go to the first name; a text of blocks is scored as a whole."""
+    assert [language_id.has_letter(t) for t in ("½ ² 12", "٣", "é", "語", "_", "ª", "x" * 10)] == [False, False, True, True, False, True, True]
+    matrix = np.zeros((language_id.BINS + 1, 2), np.float32)
+    best, score, fit = language_id.score_texts(["abc", "1"], ["a", "b"], matrix, np.zeros(2))
+    assert best == ["a", "und"] and list(score) == [0.5, 0.0] and np.isnan(fit[1])
