@@ -3,10 +3,12 @@
 Vectors are scaled to length 1 and projected on random Gaussian directions;
 floor((projection + offset) / WIDTH) of K projections make a bucket key, in T
 tables.  K follows from the number of vectors, so that unlike vectors share a
-bucket with a steady few, and T from K, so that a pair at the threshold meets in
-some table with probability RECALL or more.  The vectors of a bucket are compared
-by cosine in double precision, in blocks of BLOCK x BLOCK; a large bucket is dealt
-over many tasks.  Only counts and, of each block, the links that tell its
+bucket with about COMPANY others, which fill one block, and T from K, so that a
+pair at the threshold meets in some table with probability RECALL or more.  A
+vector is sent to each of its buckets as it is stored (four bytes a component if
+that is its type), with its keys.  The vectors of a bucket are compared by cosine
+in double precision, in blocks of BLOCK x BLOCK; a large bucket is dealt over many
+tasks.  Only counts and, of each block, the links that tell its
 components leave a task; a pair counts in the first table in which it meets.
 
 Equal vectors are one class with a weight; links are found between classes.
@@ -14,7 +16,7 @@ Equal vectors are one class with a weight; links are found between classes.
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing.  Vectors of unlike lengths don't link.  Rows with
 a null id link with nothing and are kept.  Rows that are equal in id and vector
-count once.  An empty table gives an empty result.
+count once; rows that share an id only are linked by their own vectors.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import group_bounds, key_runs, materialise
+from ._shared import discard, group_bounds, key_runs, materialise
 from .components import components
 
 WIDTH = 2.0
 #: for a pair just at the threshold; a closer one meets more often
 RECALL = 0.97
-#: vectors that an unlike vector meets in a bucket, about
-COMPANY = 40
-BLOCK = 1024
+#: vectors that an unlike vector meets in a bucket, about: comparing so many at once costs less than sending each vector to more tables
+COMPANY = 500
+BLOCK = 2048
 _SEED = 20240229
 
 
@@ -53,14 +55,14 @@ def plan(rows: int, threshold: float, recall: float = RECALL) -> tuple[int, int]
 
 
 def bucket_keys(unit: np.ndarray, k: int, tables: int) -> np.ndarray:
-    """int64 keys, (vectors, tables)."""
+    """int32 keys, (vectors, tables)."""
     rng = np.random.default_rng([_SEED, unit.shape[1]])
     direction = rng.standard_normal((tables * k, unit.shape[1]))
     offset = rng.uniform(0, WIDTH, tables * k)
     cell = np.floor((unit @ direction.T + offset) / WIDTH).astype(np.int64).reshape(len(unit), tables, k)
     mix = rng.integers(1, 1 << 62, k, dtype=np.int64) | 1
     key = (cell * mix).sum(axis=2)
-    return key ^ (key >> 29)
+    return (key ^ (key >> 29) ^ (key >> 47)).astype(np.int32)
 
 
 def _valid(embedding) -> F.Column:
@@ -68,15 +70,20 @@ def _valid(embedding) -> F.Column:
     return F.coalesce((F.size(embedding) > 0) & fine & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def _sign(k: int, tables: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in doubles, each by that power of two that brings its largest component near 1: squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _sign(k: int, tables: int, kind: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        vectors = [np.asarray(v, np.float64) for v in batch["embedding"]]
+        vectors = [np.asarray(v, kind) for v in batch["embedding"]]
         keys: list = [None] * len(vectors)
         lengths = np.array([len(v) for v in vectors])
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
-            x = np.stack([vectors[i] for i in at])
-            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x = _scaled(np.stack([vectors[i] for i in at]))
             found = bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), k, tables)
             for i, row in zip(at, found, strict=True):
                 keys[i] = row
@@ -84,11 +91,13 @@ def _sign(k: int, tables: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.D
 
 
 def _links(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    norm = np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
-    return (left @ right.T) / norm >= threshold
+    one, other, out = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1), np.empty((len(left), len(right)), bool)
+    for x in range(0, len(left), 256):
+        out[x : x + 256] = (left[x : x + 256] @ right.T) / (one[x : x + 256, None] * other[None, :]) >= threshold
+    return out
 
 
-def _compare(threshold: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(threshold: float, kind: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """kind 0: a has n more links; kind 1: a and b are linked, perhaps by others."""
     for frame in key_runs(batches, ["t", "key", "p", "q"]):
         bounds = group_bounds(frame, ["t", "key", "p", "q"])
@@ -97,11 +106,12 @@ def _compare(threshold: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.D
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             if hi - lo < 2:
                 continue
-            vectors = [np.frombuffer(v, np.float64) for v in frame["vector"].iloc[lo:hi]]
-            if len({len(v) for v in vectors}) > 1:  # by chance; the lengths are dealt apart by their own projections
-                most = max(len(v) for v in vectors)
-                vectors = [v if len(v) == most else np.zeros(most) for v in vectors]
-            x = np.stack(vectors)
+            vectors = [np.frombuffer(v, kind) for v in frame["vector"].iloc[lo:hi]]
+            length = np.array([len(v) for v in vectors])
+            x = np.zeros((hi - lo, length.max()), kind)
+            for r, v in enumerate(vectors):
+                x[r, : len(v)] = v
+            x = _scaled(x)
             keys = np.stack(frame["keys"].iloc[lo:hi].to_list())
             one = p[lo] == q[lo]
             rows = np.arange(hi - lo) if one else np.flatnonzero(sub[lo:hi] == p[lo])
@@ -109,7 +119,7 @@ def _compare(threshold: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.D
             if not len(rows) or not len(cols):
                 continue
             with np.errstate(invalid="ignore", divide="ignore"):
-                found = _links(x[rows], x[cols], threshold)
+                found = _links(x[rows], x[cols], threshold) & (length[rows][:, None] == length[cols][None, :])
             if one:
                 found &= np.tri(len(rows), k=-1, dtype=bool).T
             i, j = np.nonzero(found)
@@ -146,26 +156,31 @@ def _compare(threshold: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.D
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    single = vectors.schema[embedding].dataType.elementType.typeName() == "float"
+    kind, numbers = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast(numbers).alias("embedding"))
     valid = rows.where(_valid(F.col("embedding")) & F.col("vec_id").isNotNull())
-    classes = materialise(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight")), "vectors")
+    classes = valid.groupBy("embedding").agg(F.min("vec_id").alias("label"), F.countDistinct("vec_id").alias("weight"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("rep"), "*"), "vectors")
     k, tables = plan(classes.count(), threshold, recall)
-    signed = classes.mapInPandas(lambda b: _sign(k, tables, b), "rep long, weight long, vector binary, keys array<long>")
+    signed = classes.mapInPandas(lambda b: _sign(k, tables, kind, b), "rep long, weight long, vector binary, keys array<int>")
     signed = materialise(signed, "vector-keys")
+    # ids only are dealt to the blocks; the vectors follow once it's known which
     places = signed.select("rep", F.posexplode("keys").alias("t", "key"))
     blocks = places.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1").select("t", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("n"))
-    dealt = signed.select("*", F.posexplode("keys").alias("t", "key")).join(blocks, ["t", "key"])
-    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    dealt = places.join(blocks, ["t", "key"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("sub", o).alias("p"), F.greatest("sub", o).alias("q")))
-    dealt = dealt.select("t", "key", "rep", "weight", "vector", "keys", "sub", F.explode(pair).alias("pq")).select("*", "pq.p", "pq.q").drop("pq")
+    dealt = dealt.select("rep", "t", "key", "sub", F.explode(pair).alias("pq")).select("rep", "t", "key", "sub", "pq.p", "pq.q").join(signed, "rep")
     order = ["t", "key", "p", "q"]
     dealt = dealt.repartition(*order).sortWithinPartitions(*order)
-    found = materialise(dealt.mapInPandas(lambda b: _compare(threshold, b), "kind int, a long, b long, n long"), "vector-links")
+    found = materialise(dealt.mapInPandas(lambda b: _compare(threshold, kind, b), "kind int, a long, b long, n long"), "vector-links")
+    discard(signed)
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    joined = components(found.where("kind = 1"))
-    per_class = classes.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    per_class = per_class.select("embedding", "rep", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    keyed = rows.withColumn("_at", F.when(_valid(F.col("embedding")) & F.col("vec_id").isNotNull(), F.col("embedding")))
-    out = keyed.join(per_class.withColumnRenamed("embedding", "_at"), "_at", "left")
+    joined = components(found.where("kind = 1")).withColumnRenamed("node", "rep")
+    per_class = classes.join(counts, "rep", "left").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    names = per_class.groupBy("component").agg(F.min("label").alias("component_id"))
+    per_class = per_class.join(names, "component").select(F.col("embedding").alias("_at"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    keyed = rows.withColumn("_own", F.when(_valid(F.col("embedding")) & F.col("vec_id").isNotNull(), F.col("embedding")))
+    out = keyed.join(per_class, F.col("_own") == F.col("_at"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

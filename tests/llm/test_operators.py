@@ -392,6 +392,31 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_odd_rows(spark):
+    """Pairs planted at cosines of 0.9 to 0.92 are found (0.97 of those at 0.9 by design); huge and tiny components, unlike lengths, null, shared and repeated ids; float and double."""
+    rng = np.random.default_rng(12)
+
+    def pair(cosine):
+        x, y = (v / np.linalg.norm(v) for v in rng.standard_normal((2, 48)))
+        y -= (x @ y) * x
+        y /= np.linalg.norm(y)
+        return x.tolist(), (cosine * x + math.sqrt(1 - cosine * cosine) * y).tolist()
+
+    import math
+
+    planted = [v for _ in range(400) for v in pair(rng.uniform(0.9005, 0.92))]
+    odd = [[1e200, 2e200, 3e200], [1e200, 2e200, 3.0001e200], [1.0, 2.0, 3.0], [1e-300, 2e-300, 3e-300], [1.0, 2.0, 3.0, 0.0], [-1.0, -2.0, -3.0]]
+    rows = list(enumerate(planted + odd)) + [(None, odd[2]), (2000, odd[2]), (2000, odd[2]), (7, odd[5])]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("rep", "weight", "label", "t", "key")})).collect()
+    got = {r.vec_id: r for r in out}
+    assert len(out) == len(rows) and sum(got[i].n_links > 0 for i in range(0, 800, 2) if i not in (6, 7)) >= 0.95 * 399
+    assert [(got[i].n_links, got[i].component_id) for i in (800, 801, 802, 803, 804)] == [(4, 800)] * 4 + [(0, 804)]
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, True) and got[2000].n_links == 4
+    assert {(r.n_links, r.component_id) for r in out if r.vec_id in (805, 7) and r.n_links == 1 and r.component_id == 7} and not got[805].kept
+    single = spark.createDataFrame(list(enumerate(planted)), "vec_id long, embedding array<float>")
+    assert embedding_dedup.near_duplicates(single).where("n_links > 0").count() >= 0.95 * 800
+
+
 def test_language_id(spark):
     docs = spark.createDataFrame([(i, "the cat and the dog are here now" if i % 2 else "der hund und die katze sind jetzt hier", "en" if i % 2 else "de") for i in range(40)] + [(40 + i, t, "en") for i, t in enumerate(ODD)], "doc_id long, text string, lang string")
     rows = {r.doc_id: r for r in language_id.identify(docs).collect()}
