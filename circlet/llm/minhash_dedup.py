@@ -50,8 +50,8 @@ from ._shared import discard, few, groups, materialise, slices, without
 from .components import components
 
 K = 64
-#: values kept of documents in long lists; sets up to that size are compared exactly within the blocks
-WIDE = 128
+#: values (their upper 32 bits) kept of documents in long lists; sets up to that size are compared as a whole within the blocks
+WIDE = 512
 LIST = 40
 #: long lists that a class goes to in the first pass
 FIRST_LISTS = 4
@@ -128,33 +128,46 @@ def _wide(docs: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for part in slices(batches):
-            yield pd.DataFrame({"rep": part["rep"], "wide": [shingle_hashes(t, shingle, known)[:WIDE].view(np.int64).copy() for t in part["text"]]})
+            yield pd.DataFrame({"rep": part["rep"], "wide": [(shingle_hashes(t, shingle, known)[:WIDE] >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in part["text"]]})
 
-    return _texts(docs, used).mapInPandas(judge, "rep long, wide array<long>")
+    return _texts(docs, used).mapInPandas(judge, "rep long, wide array<int>")
 
 
-def estimates(left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
-    """Similarity of pairs of sketches of equal length (rows), from their union up to the smaller of their last values; padded with the largest value."""
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: in place of values that a sketch doesn't have
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def estimates(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of pairs of sketches of equal length (rows), from their union up to the smaller of their last values; and how many values of the union that is."""
     limit = np.minimum(left[:, -1], right[:, -1])[:, None]
     both = np.concatenate([left, right], axis=1)
-    both = np.where((both <= limit) & (both != top), both, top)
+    both = np.where((both <= limit) & (both != _NONE), both, _NONE)
     both.sort(axis=1)
-    real = both != top
+    real = both != _NONE
     shared = ((both[:, 1:] == both[:, :-1]) & real[:, 1:]).sum(axis=1)
-    return shared / np.maximum(real.sum(axis=1) - shared, 1)
+    seen = np.maximum(real.sum(axis=1) - shared, 1)
+    return shared / seen, seen
 
 
-def _padded(rows, k: int) -> np.ndarray:
-    out = np.full((len(rows), k), np.uint64(0xFFFFFFFFFFFFFFFF))
+def _padded(rows, k: int, kind: type) -> np.ndarray:
+    out = np.full((len(rows), k), _NONE)
     for i, row in enumerate(rows):
-        out[i, : len(row)] = np.asarray(row, np.int64).view(np.uint64)
+        row = np.asarray(row, kind)[:k]
+        out[i, : len(row)] = row.view(np.uint64 if kind is np.int64 else np.uint32)
     return out
 
 
-def _floor(percent: int, k: int) -> float:
+def _may_be(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sketches don't speak against the threshold, and their estimates.  sizes: of both sets together.
+
+    The values seen are drawn from the union without replacement: five standard deviations less are allowed, none
+    if all of it is seen.
+    """
     t = percent / 100
-    return t - 5 * math.sqrt(t * (1 - t) / k)
+    about, seen = estimates(left, right)
+    union = np.maximum(sizes / (1 + t), 2)
+    spread = np.sqrt(t * (1 - t) / seen * np.clip((union - seen) / (union - 1), 0, 1))
+    return about >= t - 5 * spread - 1e-9, about
 
 
 def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -177,9 +190,20 @@ def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndar
     return np.array(out, np.int64)
 
 
+def _marks(own: list[np.ndarray]) -> np.ndarray:
+    """A row for each array, a column for each value that two of them have or more: 1 where it's there."""
+    if not sum(map(len, own)):
+        return np.zeros((len(own), 1), np.float32)
+    values, at, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    column, row = (np.cumsum(n > 1) - 1)[at], np.repeat(np.arange(len(own)), [len(x) for x in own])
+    often = n[at] > 1
+    out = np.zeros((len(own), max(1, int((n > 1).sum()))), np.float32)
+    out[row[often], column[often]] = 1
+    return out
+
+
 def _blocks(percent: int, k: int, forest: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """a, b: the pairs of a block of a list, or of two blocks, that look alike and are in different components."""
-    floor = _floor(percent, k)
     for part in groups(batches, ["value", "p", "q"]):
         sub, rep, size, component = (part[c].to_numpy() for c in ("sub", "rep", "size", "component"))
         p, q, here = part["p"].iloc[0], part["q"].iloc[0], part["value"].iloc[0]
@@ -187,16 +211,8 @@ def _blocks(percent: int, k: int, forest: bool, batches: Iterator[pd.DataFrame])
         cols = rows if p == q else np.flatnonzero(sub == q)
         if not len(rows) or not len(cols):
             continue
-        wide = _padded(part["wide"].to_list(), WIDE)
-        sketch = wide[:, :k]
-        values, inverse = np.unique(sketch, return_inverse=True)
-        inverse = inverse.reshape(sketch.shape)
-        often = np.bincount(inverse.ravel(), minlength=len(values)) > 1
-        often[-1] &= values[-1] != np.uint64(0xFFFFFFFFFFFFFFFF)
-        column = np.cumsum(often) - 1
-        has = np.zeros((len(part), max(1, int(often.sum()))), np.float32)
-        at = often[inverse]
-        has[np.nonzero(at)[0], column[inverse[at]]] = 1
+        wide = _padded(part["wide"].to_list(), WIDE, np.int32)
+        has = _marks([w[w != _NONE] for w in wide[:, :k]])
         need = np.array([least_shared(int(s), k, percent) for s in size], np.float32)
         shared = has[rows] @ has[cols].T
         fine = (shared >= np.minimum(need[rows][:, None], need[cols][None, :])) & (component[rows][:, None] != component[cols][None, :])
@@ -205,23 +221,18 @@ def _blocks(percent: int, k: int, forest: bool, batches: Iterator[pd.DataFrame])
             fine &= np.tri(len(rows), k=-1, dtype=bool).T
         if not forest and fine.any():
             # a pair that shares several lists is looked at in that of the least value
-            before = np.zeros((len(part), len(values)), np.float32)
-            for r, own in enumerate(part["places"]):
-                own = np.asarray(own, np.int64)
-                before[r, np.searchsorted(values, own[own < here].view(np.uint64))] = 1
-            before = before[:, before.any(axis=0)]
+            own = [np.asarray(x, np.int64) for x in part["places"]]
+            before = _marks([x[x < here] for x in own])
             fine &= before[rows] @ before[cols].T == 0
         i, j = np.nonzero(fine)
         i, j = rows[i], cols[j]
         alike, about = np.zeros(len(i), bool), np.zeros(len(i))
-        for x in range(0, len(i), 8192):
-            a, b = i[x : x + 8192], j[x : x + 8192]
-            sure = estimates(sketch[a], sketch[b], k) >= floor
-            a, b = a[sure], b[sure]
-            close = estimates(wide[a], wide[b], WIDE)
-            exact = np.maximum(size[a], size[b]) <= WIDE
-            at = x + np.flatnonzero(sure)
-            alike[at], about[at] = close >= np.where(exact, percent / 100 - 1e-9, _floor(percent, WIDE)), close
+        for x in range(0, len(i), 4096):
+            a, b, at = i[x : x + 4096], j[x : x + 4096], np.arange(x, min(x + 4096, len(i)))
+            for width in (k, WIDE):
+                sure, close = _may_be(wide[a, :width], wide[b, :width], size[a] + size[b], percent)
+                a, b, at, close = a[sure], b[sure], at[sure], close[sure]
+            alike[at], about[at] = True, close
         i, j, about = i[alike], j[alike], about[alike]
         if forest and len(i) > 2 * len(part):
             kept = _forest(i, j, about, len(part))
@@ -283,14 +294,17 @@ def _compared(rows: DataFrame, percent: int, k: int, forest: bool) -> DataFrame:
 
 def _alike(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs whose sketches don't speak against them."""
-    floor = _floor(percent, k)
 
     @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series(estimates(_padded(left.to_list(), k), _padded(right.to_list(), k), k) >= floor)
-
-    own = lambda r: reps.select(F.col("rep").alias(r), F.col("sketch").alias(f"sketch_{r}"))
-    return pairs.join(own("a"), "a").join(own("b"), "b").where(alike("sketch_a", "sketch_b")).select("a", "b")
+    def alike(left: pd.Series, right: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = [np.zeros(0, bool)]
+        for x in range(0, len(left), 4096):
+            part = slice(x, x + 4096)
+            out.append(_may_be(_padded(left.iloc[part], k, np.int64), _padded(right.iloc[part], k, np.int64), sizes.to_numpy()[part], percent)[0])
+        return pd.Series(np.concatenate(out))
+
+    own = lambda r: reps.select(F.col("rep").alias(r), F.col("sketch").alias(f"sketch_{r}"), F.col("size").alias(f"size_{r}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").where(alike("sketch_a", "sketch_b", F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
