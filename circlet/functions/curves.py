@@ -7,6 +7,7 @@ machine: TRAVERSAL[state] lists the quadrants in the order of the curve.
 
 from __future__ import annotations
 
+import functools
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -57,41 +58,49 @@ def cell(u: Column, depth: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.floor(u * F.lit(float(2**depth))), F.lit(2**depth - 1))).cast("long")
 
 
-def _table(rows: list[list[int]]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for row in rows for v in row])
+def _packed(answer: list[list[int]], following: list[list[int]]) -> Column:
+    """A number with four bits for each state and input: the answer, then the next state."""
+    out = 0
+    for state, row in enumerate(answer):
+        for k, value in enumerate(row):
+            out |= (value << 2 | following[state][k]) << (4 * (4 * state + k))
+    return F.lit(out - (1 << 64) if out >> 63 else out).cast("long")
 
 
-def encode(gx: Column, gy: Column, depth: int, curve: str = "hilbert") -> Column:
-    """Index of a cell.  Of the Hilbert curve it's an interpreted fold: compute it when a table is written, not in queries."""
-    if curve == "zorder":
-        out = F.lit(0).cast("long")
-        for b in range(depth):
-            digit = (F.lit(1) - F.shiftright(gy, b).bitwiseAND(F.lit(1))) * 2 + F.shiftright(gx, b).bitwiseAND(F.lit(1))
-            out = out + digit * F.lit(4**b)
-        return out.cast("long")
-    pos, nxt = _table(position(curve)), _table(NEXT[curve])
-    levels = F.array(*[F.lit(b) for b in range(depth - 1, -1, -1)])
+def _steps(inputs: list[Column], packed: Column) -> list[Column]:
+    """What the state machine gives for each input, the answer in bits 2 and 3.
 
-    def step(acc: Column, b: Column) -> Column:  # acc is index * 4 + state
-        bit = lambda g: F.floor(g / F.pow(F.lit(2.0), b)).cast("long") % 2
-        at = (acc.bitwiseAND(F.lit(3)) * 4 + bit(gx) * 2 + (F.lit(1) - bit(gy)) + 1).cast("int")
-        return (F.shiftright(acc, 2) * 4 + F.element_at(pos, at)) * 4 + F.element_at(nxt, at)
+    The number of levels is known here, so that this is a chain of shifts that becomes generated code; a step
+    stands once in the next one.
+    """
+    out: list[Column] = []
+    for k in inputs:
+        at = k * 4 if not out else (out[-1].bitwiseAND(F.lit(3)) * 4 + k) * 4
+        out.append(F.call_function("shiftrightunsigned", packed, at.cast("int")).bitwiseAND(F.lit(15).cast("long")))
+    return out
 
-    return F.shiftright(F.aggregate(levels, F.lit(0).cast("long"), step), 2)
 
+def _sum(terms: list[Column]) -> Column:
+    return functools.reduce(lambda a, b: a + b, terms, F.lit(0).cast("long"))
 
-def decode(index: Column, depth: int, curve: str = "hilbert") -> Column:
-    """struct<gx, gy> of a cell."""
-    trav, nxt = _table(TRAVERSAL[curve]), _table(NEXT[curve])
-    levels = F.array(*[F.lit(float(4**b)) for b in range(depth - 1, -1, -1)])
-    zero = F.lit(0).cast("long")
 
-    def step(acc: Column, power: Column) -> Column:
-        k = F.element_at(trav, (acc["state"] * 4 + F.floor(index / power).cast("long") % 4 + 1).cast("int"))
-        state = F.element_at(nxt, (acc["state"] * 4 + k + 1).cast("int"))
-        return F.struct((acc["gx"] * 2 + F.shiftright(k, 1)).alias("gx"), (acc["gy"] * 2 + 1 - k.bitwiseAND(F.lit(1))).alias("gy"), state.alias("state"))
+def encode(gx: Column, gy: Column, depth: int, curve: str = "hilbert") -> Column:
+    """Index of a cell."""
+    levels = range(depth - 1, -1, -1)
+    bit = lambda g, b: F.shiftright(g.cast("long"), b).bitwiseAND(F.lit(1).cast("long"))
+    steps = _steps([bit(gx, b) * 2 + F.lit(1) - bit(gy, b) for b in levels], _packed(position(curve), NEXT[curve]))
+    return _sum([F.shiftleft(F.shiftright(s, 2), 2 * b) for s, b in zip(steps, levels, strict=True)])
 
-    return F.aggregate(levels, F.struct(zero.alias("gx"), zero.alias("gy"), zero.alias("state")), step, lambda a: F.struct(a["gx"].alias("gx"), a["gy"].alias("gy")))
+
+def decode(index: Column, depth: int, curve: str = "hilbert") -> Column:
+    """struct<gx, gy> of a cell."""
+    levels = range(depth - 1, -1, -1)
+    # the next state by the place in the order
+    following = [[NEXT[curve][state][k] for k in order] for state, order in enumerate(TRAVERSAL[curve])]
+    steps = _steps([F.shiftright(index.cast("long"), 2 * b).bitwiseAND(F.lit(3).cast("long")) for b in levels], _packed(TRAVERSAL[curve], following))
+    gx = [F.shiftleft(F.shiftright(s, 3), b) for s, b in zip(steps, levels, strict=True)]
+    gy = [F.shiftleft(F.lit(1) - F.shiftright(s, 2).bitwiseAND(F.lit(1).cast("long")), b) for s, b in zip(steps, levels, strict=True)]
+    return F.struct(_sum(gx).alias("gx"), _sum(gy).alias("gy"))
 
 
 def cell_box(gx: Column, gy: Column, depth: int) -> list[Column]:

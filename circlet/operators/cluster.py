@@ -34,23 +34,86 @@ def core_points(pairs: DataFrame, min_samples: int) -> DataFrame:
     return pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
 
 
+#: links of cells that the driver joins (16 bytes each); more are joined by rounds of Spark
+DRIVER_LINKS = 500_000
+#: cells around a cell in which a point can be near: of side eps / sqrt(2), two away at most, but not in the corners
+_AROUND = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) != (0, 0) and abs(dx) + abs(dy) < 4]
+
+
+def _near(left: DataFrame, right: DataFrame, eps: float, offsets: list[tuple[int, int]]) -> DataFrame:
+    """left (cx, cy, x, y and more) joined with the right's points (ox, oy and more) no further than eps in the cells around."""
+    to = F.explode(F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx, dy in offsets])).alias("to")
+    moved = left.select("*", to).withColumns({"tx": F.col("cx") + F.col("to.dx"), "ty": F.col("cy") + F.col("to.dy")}).drop("to")
+    other = right.withColumnsRenamed({"cx": "tx", "cy": "ty", "x": "ox", "y": "oy"})
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    return moved.join(other, ["tx", "ty"]).where(dx * dx + dy * dy <= F.lit(eps * eps))
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """node and root, the least node that links lead to, of all nodes in links (u, v)."""
+    spark = links.sparkSession
+    if links.limit(DRIVER_LINKS + 1).count() <= DRIVER_LINKS:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for u, v in links.collect():
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+        return spark.createDataFrame([(x, find(x)) for x in root], "node long, root long")
+    both = written(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    roots = both.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+    while True:  # each round takes the least root around, and then that one's own
+        least = both.join(roots, F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("around"))
+        least = roots.join(least, "node").select("node", F.least("root", "around").alias("root"))
+        jump = least.join(least.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", F.least("root", "further").alias("root"))
+        nxt = written(jump, "roots")
+        if not nxt.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count():
+            return nxt
+        roots = nxt
+
+
 def dbscan(points: DataFrame, eps: float = 0.18, min_samples: int = 24) -> DataFrame:
-    """id and label: the least core id of the point's cluster; a border point takes the least one of its core neighbours; -1 is noise."""
-    pairs = written(neighbours(points, eps), "neighbours")
-    core = written(core_points(pairs, min_samples), "core")
-    core_pairs = pairs.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b").select("a", "b")
-    labels = core.select("id", F.col("id").alias("label"))
-    while True:  # each round takes the least label around, and then that label's own
-        least = core_pairs.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
-        jump = least.join(least.select(F.col("id").alias("label"), F.col("label").alias("further")), "label").select("id", F.least("label", "further").alias("label"))
-        nxt = written(jump, "labels")
-        changed = nxt.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
-        labels = nxt
-        if not changed:
-            break
-    border = pairs.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-    out = points.select("id").join(labels, "id", "left").join(border, "id", "left")
-    return out.select("id", F.coalesce("label", "near", F.lit(-1)).alias("label"))
+    """id and label: the least core id of the point's cluster; a border point takes the least one of its core neighbours; -1 is noise.
+
+    Points of a cell of side eps / sqrt(2) are all near each other.  So all points of a cell with min_samples are
+    core, only those of other cells are counted around, and clusters are made of cells: two of them are linked by
+    any pair of core points, which the extreme points of eight directions mostly show.
+    """
+    side = F.lit(eps / math.sqrt(2) * (1 - 1e-9))
+    cells = points.select("id", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+    counts = cells.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    cells = written(cells.join(counts, ["cx", "cy"]).withColumn("cell", F.shiftleft("cx", 32) + F.pmod(F.col("cy"), F.lit(1 << 32))), "cells")
+    thin = cells.where(F.col("n") < min_samples)
+    around = _near(thin, cells.select("cx", "cy", "x", "y"), eps, _AROUND).groupBy("id").agg(F.count("*").alias("more"))
+    thin = thin.join(around, "id", "left").withColumn("core", F.col("n") + F.coalesce("more", F.lit(0)) >= min_samples).drop("more")
+    placed = written(cells.where(F.col("n") >= min_samples).withColumn("core", F.lit(True)).unionByName(thin), "placed")
+    core = placed.where("core").select("id", "x", "y", "cx", "cy", "cell")
+    # links of cells: by their extreme points, else by any pair
+    ways = [F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")]
+    ends = F.array(*[f(F.struct("x", "y"), w) for w in ways for f in (F.min_by, F.max_by)])
+    box = core.groupBy("cx", "cy", "cell").agg(ends.alias("ends"), F.min("id").alias("least"))
+    ahead = [o for o in _AROUND if o > (0, 0)]
+    to = F.explode(F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx, dy in ahead])).alias("to")
+    pairs = box.select("cell", "ends", "cx", "cy", to)
+    pairs = pairs.select(F.col("cell").alias("u"), F.col("ends").alias("mine"), (F.col("cx") + F.col("to.dx")).alias("cx"), (F.col("cy") + F.col("to.dy")).alias("cy")).join(box.select(F.col("cell").alias("v"), F.col("ends").alias("theirs"), "cx", "cy"), ["cx", "cy"])
+    close = lambda a, b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]) <= F.lit(eps * eps)
+    pairs = written(pairs.select("u", "v", F.exists("mine", lambda a: F.exists("theirs", lambda b: close(a, b))).alias("sure")), "cell-pairs")
+    unsure = pairs.where("not sure").select("u", "v")
+    mine, theirs = (core.select(F.col("cell").alias(k), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k in "uv")
+    dx, dy = F.col("xu") - F.col("xv"), F.col("yu") - F.col("yv")
+    shown = unsure.join(mine, "u").join(theirs, "v").where(dx * dx + dy * dy <= F.lit(eps * eps)).select("u", "v").distinct()
+    roots = _joined(pairs.where("sure").select("u", "v").unionByName(shown))
+    of = box.select("cell", "least").join(roots.withColumnRenamed("node", "cell"), "cell", "left").withColumn("root", F.coalesce("root", "cell"))
+    of = of.join(of.groupBy("root").agg(F.min("least").alias("label")), "root").select("cell", "label")
+    labels = core.join(of, "cell").select("id", "label", "x", "y", "cx", "cy")
+    others = placed.where("not core").select("id", "x", "y", "cx", "cy")
+    border = _near(others, labels.select("label", "x", "y", "cx", "cy"), eps, [(0, 0), *_AROUND]).groupBy("id").agg(F.min("label").alias("near"))
+    out = others.select("id").join(border, "id", "left").select("id", F.coalesce("near", F.lit(-1)).alias("label"))
+    return labels.select("id", "label").unionByName(out)
 
 
 def boxes(labelled: DataFrame) -> DataFrame:
@@ -58,27 +121,39 @@ def boxes(labelled: DataFrame) -> DataFrame:
     return labelled.where("label <> -1").groupBy("label").agg(F.count("*").alias("n"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
 
 
-def fix_overlaps(found: list[Box], gap: float = 100.0) -> list[Box]:
-    """Of two boxes that overlap the one with the shorter diagonal shrinks, on x if it can, else on y; what is left of no size goes."""
-    out = [list(b) for b in found]
-    for i in range(len(out)):
-        for j in range(len(out)):
-            if i == j:
-                continue
-            a, b = out[i], out[j]
-            small, large = (a, b) if math.dist(a[:2], a[2:]) <= math.dist(b[:2], b[2:]) else (b, a)
-            meets = all(small[k] < large[k + 2] and large[k] < small[k + 2] for k in (0, 1))
-            if meets:
-                k = 0 if small[0] < large[2] and large[0] < small[2] else 1
-                if abs(small[k + 2] - large[k]) < abs(large[k + 2] - small[k]):
-                    small[k + 2] = large[k] - gap
-                else:
-                    small[k] = large[k + 2] + gap
-    return [tuple(b) for b in out if b[0] <= b[2] and b[1] <= b[3]]
+def overlapping(found: list[Box]) -> list[tuple[int, int]]:
+    """Pairs that have a point in common, edges included."""
+    return [(i, j) for i in range(len(found)) for j in range(i) if all(found[i][k] <= found[j][k + 2] and found[j][k] <= found[i][k + 2] for k in (0, 1))]
 
 
-def overlapping(found: list[Box]) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(found)) for j in range(i) if all(found[i][k] < found[j][k + 2] and found[j][k] < found[i][k + 2] for k in (0, 1))]
+def union(a: Box, b: Box) -> Box:
+    return (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+
+
+def fix_overlaps(found: list[Box], gap: float = 100.0) -> list[Box]:
+    """Boxes that don't meet: while two do, the one with the shorter diagonal loses the least that leaves a gap between them; what is left of no size goes."""
+    out = list(found)
+    while met := overlapping(out):
+        i, j = sorted(met[0], key=lambda k: math.dist(out[k][:2], out[k][2:]))
+        small, large = out[i], out[j]
+        cuts = []
+        for k in (0, 1):
+            below, above = list(small), list(small)
+            below[k + 2], above[k] = large[k] - gap, large[k + 2] + gap
+            cuts += [(small[k + 2] - below[k + 2], below), (above[k] - small[k], above)]
+        out[i] = tuple(min(cuts)[1])
+        out = [b for b in out if b[0] <= b[2] and b[1] <= b[3]]
+    return out
+
+
+def find_boxes(sample: DataFrame, eps: float = 0.18, min_samples: int = 24, part: float = 1 / 9001, gap: float = 100.0) -> list[Box]:
+    """Boxes of the clusters of a bounded sample (id, x, y): points are standardised for the search, boxes are in their own units.
+
+    Clusters with no more than ``part`` of the sample are left out.
+    """
+    labels = dbscan(standardise(sample), eps, min_samples)
+    rows = boxes(sample.join(labels, "id")).where(F.col("n") > F.lit(sample.count() * part)).orderBy("label").collect()
+    return fix_overlaps([(r["min_x"], r["min_y"], r["max_x"], r["max_y"]) for r in rows], gap)
 
 
 def kmeans_step(points: DataFrame, centres: list[tuple[int, float, float]]) -> DataFrame:

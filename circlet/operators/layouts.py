@@ -8,16 +8,17 @@ partitions and reach the Parquet scan, and the exact distance refines them.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import curves
-from ..functions.geometry import in_circle_box, within
+from ..functions.geometry import circle_meets_box, in_circle_box, within
 from ..plans import tree as trees
 from ..plans.ranges import Box, Range, clip, decompose, enumerate_cells, greedy_partitions, overlap, unit_box
-from ..sources.store import written
+from ..sources.store import remove, scratch, usage
 
 SAMPLE = 4096
 
@@ -59,13 +60,6 @@ class Layout:
         return F.lit(True)
 
 
-class MbrLayout(Layout):
-    """Sorted by place; the circle's bounding box is pushed to the scan."""
-
-    def candidates(self, x: float, y: float, rad: float) -> Column:
-        return in_circle_box(F.col("x"), F.col("y"), x, y, rad)
-
-
 @dataclass
 class CurveLayout(Layout):
     """A curve index; the table is sorted by it."""
@@ -75,14 +69,11 @@ class CurveLayout(Layout):
     tolerance: int = 1
     max_ranges: int | None = 64
 
-    def _index(self) -> Column:
-        w = self.world
-        gx = curves.cell(curves.unit(F.col("x"), w[0], w[2]), self.depth)
-        gy = curves.cell(curves.unit(F.col("y"), w[1], w[3]), self.depth)
-        return curves.encode(gx, gy, self.depth, self.curve)
-
     def assign(self, points: DataFrame) -> DataFrame:
-        return points.withColumn("sfc", self._index())
+        # cells are columns of their own first: the index takes each of them once a level
+        w = self.world
+        cells = {f"_{c}": curves.cell(curves.unit(F.col(c), w[i], w[i + 2]), self.depth) for i, c in enumerate("xy")}
+        return points.withColumns(cells).withColumn("sfc", curves.encode(F.col("_x"), F.col("_y"), self.depth, self.curve)).drop(*cells)
 
     def ranges(self, x: float, y: float, rad: float) -> list[Range]:
         box = unit_box(_circle_box(x, y, rad), self.world)
@@ -92,6 +83,14 @@ class CurveLayout(Layout):
         return _between("sfc", self.ranges(x, y, rad))
 
 
+@dataclass
+class MbrLayout(CurveLayout):
+    """Sorted along a curve, so that what lies together has narrow limits in x and y; the circle's bounding box is pushed to the scan."""
+
+    def candidates(self, x: float, y: float, rad: float) -> Column:
+        return in_circle_box(F.col("x"), F.col("y"), x, y, rad)
+
+
 @dataclass
 class RangePartitions(CurveLayout):
     """Partitions of about equal population along the curve.
@@ -136,10 +135,6 @@ class TreePartitions(Layout):
     depths: dict[int, int] = field(default_factory=dict)
     curve: str = "hilbert"
 
-    def _local(self, node: trees.Node, depth: int) -> Column:
-        cells = [curves.cell(curves.unit(F.col(c), node.box[i], node.box[i + 2]), depth) for i, c in enumerate("xy")]
-        return curves.encode(*cells, depth, self.curve)
-
     def assign(self, points: DataFrame) -> DataFrame:
         x, y = F.col("x"), F.col("y")
         tree = F.coalesce(*[F.when(x.between(b[0], b[2]) & y.between(b[1], b[3]), F.lit(i + 1)) for i, b in enumerate(self.boxes)], F.lit(0))
@@ -149,16 +144,18 @@ class TreePartitions(Layout):
         leaves = [(t, n.leaf, n.box) for t, root in self.trees.items() for n in root.leaves()]
         boxes = F.map_from_arrays(F.array(*[F.lit(t * 1_000_000 + k) for t, k, _ in leaves]), F.array(*[F.array(*[F.lit(float(v)) for v in b]) for _, _, b in leaves]))
         points = points.withColumn("_box", F.element_at(boxes, F.col("tree") * 1_000_000 + F.col("leaf")))
-        out = None
+        out, drop = None, ["_box"]
         for depth in sorted(set(self.depths.values())):
-            cells = []
+            cells = {}
             for i, c in enumerate("xy"):
                 low, high = F.get("_box", F.lit(i)), F.get("_box", F.lit(i + 2))
-                cells.append(curves.cell(F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(F.lit(0.0)), depth))
-            index = curves.encode(*cells, depth, self.curve)
+                cells[f"_{c}{depth}"] = curves.cell(F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(F.lit(0.0)), depth)
+            points = points.withColumns(cells)
+            index = curves.encode(*[F.col(c) for c in cells], depth, self.curve)
             own = F.col("tree").isin([t for t, d in self.depths.items() if d == depth])
             out = F.when(own, index) if out is None else out.when(own, index)
-        return points.withColumn("sfc", out).drop("_box")
+            drop += cells
+        return points.withColumn("sfc", out).drop(*drop)
 
     def candidates(self, x: float, y: float, rad: float) -> Column:
         box = _circle_box(x, y, rad)
@@ -180,8 +177,12 @@ class TreePartitions(Layout):
         return _any(terms)
 
 
+#: groups of curve indices whose counts are collected at most
+GROUPS = 1 << 16
+
+
 def histogram(points: DataFrame, depth: int, grouping: int = 1) -> list[int]:
-    """Rows by groups of curve indices; 4**depth / grouping numbers at most."""
+    """Rows by groups of curve indices; 4**depth / grouping numbers."""
     found = {r["g"]: r["n"] for r in points.groupBy(F.floor(F.col("sfc") / grouping).alias("g")).agg(F.count("*").alias("n")).collect()}
     return [found.get(g, 0) for g in range(-(-(4**depth) // grouping))]
 
@@ -191,7 +192,7 @@ def naive(points: DataFrame) -> Layout:
 
 
 def mbr(points: DataFrame) -> MbrLayout:
-    return MbrLayout(extent(points), sort_by=("x", "y"))
+    return MbrLayout(extent(points), sort_by=("sfc",))
 
 
 def sfc(points: DataFrame, depth: int = 8, curve: str = "hilbert", tolerance: int = 1, max_ranges: int | None = 64) -> CurveLayout:
@@ -201,7 +202,8 @@ def sfc(points: DataFrame, depth: int = 8, curve: str = "hilbert", tolerance: in
 def m1(points: DataFrame, depth: int = 6, parts: int = 16, form: str = "multi", curve: str = "hilbert", sample: int | None = None) -> RangePartitions:
     base = CurveLayout(extent(points), depth=depth, curve=curve)
     rows = points if sample is None else hashed_sample(points, sample)
-    cut = greedy_partitions(histogram(base.assign(rows), depth), parts, depth)
+    grouping = max(1, 4**depth // GROUPS)
+    cut = greedy_partitions(histogram(base.assign(rows), depth, grouping), parts, depth, grouping)
     return RangePartitions(base.world, ("part_id",), ("sfc",), depth=depth, curve=curve, parts=cut, form=form)
 
 
@@ -223,19 +225,74 @@ def m3(points: DataFrame, boxes: list[Box], base_leaf: int = 256, base_depth: in
     return TreePartitions(world, ("tree", "leaf"), ("tree", "leaf", "sfc"), made, boxes, {t: cluster_depth if t else base_depth for t in made})
 
 
+KINDS = {c.__name__: c for c in (Layout, CurveLayout, MbrLayout, RangePartitions, TreePartitions)}
+
+
+def describe(layout: Layout) -> str:
+    """All that a layout is, as JSON: the catalog of a written table."""
+    out = {f.name: getattr(layout, f.name) for f in fields(layout)}
+    if isinstance(layout, TreePartitions):
+        out["trees"] = [row for t, n in layout.trees.items() for row in trees.to_rows(n, t)]
+        out["depths"] = list(layout.depths.items())
+    return json.dumps({"kind": type(layout).__name__, **out})
+
+
+def restore(text: str) -> Layout:
+    out = json.loads(text)
+    kind = KINDS[out.pop("kind")]
+    tuples = lambda rows: [tuple(r) for r in rows]
+    out |= {k: tuple(out[k]) for k in ("world", "partition_by", "sort_by")} | {k: tuples(out[k]) for k in ("parts", "boxes") if k in out}
+    if kind is TreePartitions:
+        rows = tuples(out["trees"])
+        out["trees"] = {t: trees.from_rows([r for r in rows if r[0] == t]) for t in dict.fromkeys(r[0] for r in rows)}
+        out["depths"] = dict(out["depths"])
+    return kind(**out)
+
+
 @dataclass
 class PointTable:
-    """A written layout.  It is dealt and sorted when written, so that queries read little of it."""
+    """A written layout.  It is dealt and sorted when written, so that queries read little of it.
+
+    A folder holds the points (``data``) and the catalog (``layout``); ``open`` needs nothing else.
+    """
 
     df: DataFrame
     layout: Layout
+    path: str | None = None
 
     @classmethod
-    def write(cls, points: DataFrame, layout: Layout, label: str = "points") -> "PointTable":
+    def write(cls, points: DataFrame, layout: Layout, label: str = "points", path: str | None = None) -> "PointTable":
+        spark = points.sparkSession
+        path = path or scratch(spark, label)
         placed = layout.assign(points.where("x is not null and y is not null"))
         if layout.sort_by:
-            placed = placed.repartitionByRange(*[F.col(c) for c in layout.sort_by]).sortWithinPartitions(*layout.partition_by, *layout.sort_by)
-        return cls(written(placed, label, *layout.partition_by), layout)
+            placed = placed.repartitionByRange(*[F.col(c) for c in layout.sort_by]).sortWithinPartitions(*dict.fromkeys((*layout.partition_by, *layout.sort_by)))
+        writer = placed.write.partitionBy(*layout.partition_by) if layout.partition_by else placed.write
+        writer.parquet(f"{path}/data")
+        # the catalog comes last: a table whose writing broke off can't be opened
+        spark.createDataFrame([(describe(layout),)], "value string").coalesce(1).write.text(f"{path}/layout")
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "PointTable":
+        """A table that was written before, by whatever session."""
+        layout = restore(spark.read.text(f"{path}/layout").first()[0])
+        return cls(spark.read.parquet(f"{path}/data"), layout, path)
+
+    def drop(self) -> None:
+        """Deletes the table."""
+        remove(self.df.sparkSession, self.path)
+
+    def compact(self, path: str | None = None) -> "PointTable":
+        """The table written anew, with a file for each partition or stretch of the curve; the old one stays."""
+        keep = [c for c in self.df.columns if c not in ("sfc", *self.layout.partition_by, "tree", "leaf")]
+        return PointTable.write(self.df.select(*keep), self.layout, "compact", path)
+
+    def storage(self) -> dict[str, int]:
+        """bytes, files and partitions."""
+        found = usage(self.df.sparkSession, f"{self.path}/data")
+        n = self.df.select(*self.layout.partition_by).distinct().count() if self.layout.partition_by else 1
+        return {**found, "partitions": n}
 
     def candidates(self, x: float, y: float, rad: float) -> DataFrame:
         return self.df.where(self.layout.candidates(x, y, rad))
@@ -251,6 +308,31 @@ class PointTable:
         found, checked = F.coalesce(F.sum(ok.cast("long")), F.lit(0)), F.count("*")
         return self.candidates(x, y, rad).agg(found.alias("found"), checked.alias("checked"), F.when(checked > 0, found / checked).alias("hit"))
 
+    def batch(self, queries: list[tuple[int, float, float, float]], inclusive: bool = False) -> DataFrame:
+        """qid, id, x, y for many circles (qid, x, y, rad) over a curve's layout: its points are joined with the circles' ranges."""
+        depth = self.layout.depth
+        rows = [(q, x, y, rad, lo, hi) for q, x, y, rad in queries for lo, hi in self.layout.ranges(x, y, rad)]
+        ranges = self.df.sparkSession.createDataFrame(rows, "qid long, qx double, qy double, qr double, start long, end long")
+        met = in_ranges(self.df, "sfc", ranges, max(0, 2 * depth - 12))
+        return met.where(within(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"), F.col("qr"), inclusive)).select("qid", "id", "x", "y")
+
+
+def in_ranges(rows: DataFrame, column: str, ranges: DataFrame, bits: int) -> DataFrame:
+    """rows joined with the ranges (start, end and more) that hold their value, by stretches of 2**bits values: no nested loop."""
+    dealt = ranges.select("*", F.explode(F.sequence(F.shiftright("start", bits), F.shiftright("end", bits))).alias("_stretch"))
+    return rows.withColumn("_stretch", F.shiftright(F.col(column).cast("long"), bits)).join(dealt, "_stretch").where(F.col(column).between(F.col("start"), F.col("end"))).drop("_stretch")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
+    """left (l, l_start, l_end) and right (r, r_start, r_end): l, r, first and last of what intervals have in common.
+
+    Both are dealt over the stretches that they meet; a pair is found in the first stretch that both meet.
+    """
+    dealt = lambda rows, s: rows.select("*", F.explode(F.sequence(F.shiftright(f"{s}_start", bits), F.shiftright(f"{s}_end", bits))).alias("_stretch"))
+    first, last = F.greatest("l_start", "r_start"), F.least("l_end", "r_end")
+    both = dealt(left, "l").join(dealt(right, "r"), "_stretch").where((first <= last) & (F.shiftright(first, bits) == F.col("_stretch")))
+    return both.select("l", "r", first.alias("first"), last.alias("last"))
+
 
 def batch_range(points: DataFrame, queries: DataFrame, cell_size: float, inclusive: bool = False) -> DataFrame:
     """qid, id, x, y for all queries (qid, x, y, rad) at once.
@@ -263,5 +345,7 @@ def batch_range(points: DataFrame, queries: DataFrame, cell_size: float, inclusi
     q = queries.select("qid", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("rad").alias("qr"))
     q = q.withColumn("cx", F.explode(F.sequence(of(F.col("qx") - F.col("qr")), of(F.col("qx") + F.col("qr")))))
     q = q.withColumn("cy", F.explode(F.sequence(of(F.col("qy") - F.col("qr")), of(F.col("qy") + F.col("qr")))))
+    cell = [F.col("cx") * cell_size, F.col("cy") * cell_size, (F.col("cx") + 1) * cell_size, (F.col("cy") + 1) * cell_size]
+    q = q.where(circle_meets_box(F.col("qx"), F.col("qy"), F.col("qr") * (1 + 1e-9) + 1e-9, cell))
     p = points.withColumn("cx", of(F.col("x"))).withColumn("cy", of(F.col("y")))
     return p.join(q, ["cx", "cy"]).where(within(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"), F.col("qr"), inclusive)).select("qid", "id", "x", "y")

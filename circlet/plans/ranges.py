@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
-from ..functions.curves import NEXT, TRAVERSAL, encode_cell
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.curves import NEXT, TRAVERSAL, decode, encode_cell
 
 Box = tuple[float, float, float, float]
 Range = tuple[int, int]
@@ -21,6 +24,34 @@ def unit_box(box: Box, world: Box) -> Box | None:
     return (low[0], low[1], high[0], high[1])
 
 
+def world_box(box: Box, world: Box) -> Box:
+    """A box of the unit square, in the world."""
+    size = [world[2] - world[0], world[3] - world[1]]
+    return tuple(world[i % 2] + v * size[i % 2] for i, v in enumerate(box))
+
+
+def sides(box: Box) -> tuple[float, float]:
+    return box[2] - box[0], box[3] - box[1]
+
+
+def lattice(depth: int) -> tuple[int, int, int, int]:
+    """All of the fine lattice: 4**depth places a side."""
+    return 0, 0, 4**depth - 1, 4**depth - 1
+
+
+def lattice_box(box: Box, depth: int) -> tuple[int, int, int, int]:
+    """The places of the fine lattice that a box of the unit square meets; the edge at 1 belongs to the last one."""
+    return tuple(max(0, min(int(math.floor(v * 4**depth)), 4**depth - 1)) for v in box)
+
+
+def discontinuities(spark: SparkSession, depth: int, curve: str = "hilbert") -> int:
+    """Steps of a curve that don't lead to one of the eight cells around: each cell beside the one of the next index, by a join."""
+    cells = spark.range(4**depth).select("id", decode(F.col("id"), depth, curve).alias("c")).select("id", "c.gx", "c.gy")
+    after = cells.select((F.col("id") - 1).alias("id"), F.col("gx").alias("nx"), F.col("gy").alias("ny"))
+    far = F.greatest(F.abs(F.col("gx") - F.col("nx")), F.abs(F.col("gy") - F.col("ny"))) > 1
+    return cells.join(after, "id").where(far).count()
+
+
 def merge(ranges: list[Range], tolerance: int = 1) -> list[Range]:
     """Sorted ranges whose gap is within the tolerance become one: 1 joins neighbours only, 0 joins none."""
     out: list[Range] = []

@@ -71,6 +71,14 @@ def dump(node: Node) -> list[str]:
     return [f"{n.depth}," + ",".join(f"{v:.0f}" for v in n.box) for n in node.walk()]
 
 
+def dump_all(found: dict[int, Node]) -> list[str]:
+    """The lines of several trees: the base, then each other one after a line with its number."""
+    out = []
+    for t, n in found.items():
+        out += [*([str(t)] if t else []), *dump(n)]
+    return out
+
+
 def to_rows(node: Node, tree: int = 0) -> list[tuple]:
     """tree, node, parent, depth, box, medians, leaf and population of all nodes: all that is needed to load it again."""
     rows: list[tuple] = []

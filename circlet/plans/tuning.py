@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import math
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 # fixed values: grids of parameters
 GRIDS = {
@@ -51,3 +53,28 @@ def sweep(layout_of: Callable[[int, str, int], object], queries: list[tuple[floa
             sizes = [len(r) for r in (layout_of(depth, curve, tolerance).ranges(*q) for q in queries) if r]
             out.append((curve, depth, tolerance, sum(sizes) / len(sizes) if sizes else 0.0))
     return out
+
+
+def measured_sweep(table_of: Callable[[int, str], object], queries: list[tuple[float, float, float]], depths=(4, 6, 8, 10), curves=("hilbert", "zorder"), steps: int = 32) -> list[tuple]:
+    """curve, depth, tolerance and the means over the queries with a hit: number of ranges, seconds and hit rate.
+
+    table_of: the written table of a depth and a curve; the tolerance only changes what a circle becomes.
+    """
+    out = []
+    for curve, depth in itertools.product(curves, depths):
+        table = table_of(depth, curve)
+        for tolerance in tolerances(depth, steps):
+            own = replace(table, layout=replace(table.layout, tolerance=tolerance, max_ranges=None))
+            found = measure(own, queries)
+            rows = [(len(own.layout.ranges(*q)), t, h) for q, t, h in zip(queries, found["times"], found["hit"], strict=True) if h > 0]
+            out.append((curve, depth, tolerance, *(sum(x) / len(rows) for x in zip(*rows, strict=True))) if rows else (curve, depth, tolerance, 0.0, 0.0, 0.0))
+    return out
+
+
+def geometric_mean(hits: list[float], floor: float = 1e-3) -> float:
+    return math.exp(sum(math.log(h if h > 0 else floor) for h in hits) / len(hits))
+
+
+def summary(measured: dict) -> dict[str, float]:
+    """Mean seconds and the geometric mean of the hit rates."""
+    return {"avg_time": sum(measured["times"]) / len(measured["times"]), "avg_hit": geometric_mean(measured["hit"])}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ CENTRES = [(k, -0.3 + 0.06 * k, 0.3 - 0.06 * k) for k in range(10)]
 DEPTH = 6
 EPS, MIN_SAMPLES = 0.18, 8
 
+TOLERANCES = (1, 16, 256)
+
 _READY: dict[tuple, object] = {}
 
 
@@ -62,6 +65,82 @@ def batch_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.batch_range(orders(spark, sf_dir), _batch(spark), 100.0)
 
 
+def batch_layout_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the ranges of a written curve layout."""
+    return table(spark, sf_dir, "hilbert").batch(BATCH)
+
+
+def reopened_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circle on tables of three layouts that are opened by their paths alone."""
+    found = None
+    for name in ("rstar", "m1_multi", "m3"):
+        one = layouts.PointTable.open(spark, table(spark, sf_dir, name).path).range_query(*CIRCLE).select(F.lit(name).alias("layout"), "id", "x", "y")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def compacted_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circle on a table that was written anew, and after the first one was dropped."""
+    points = orders(spark, sf_dir)
+    first = layouts.PointTable.write(points, layouts.m2(points), "dropped")
+    second = first.compact()
+    first.drop()
+    return second.range_query(*CIRCLE)
+
+
+def _hit(name: str) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = table(spark, sf_dir, name)
+        exact = replace(t.layout, max_ranges=None) if isinstance(t.layout, layouts.CurveLayout) else t.layout
+        return layouts.PointTable(t.df, exact).hit_rate(*CIRCLE)
+
+    return run
+
+
+def storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, files and partitions of each written layout."""
+    rows = [(name, *(table(spark, sf_dir, name).storage()[k] for k in ("bytes", "files", "partitions"))) for name in METHODS.values()]
+    return spark.createDataFrame(rows, "layout string, bytes long, files long, partitions long")
+
+
+def cluster_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circles in the boxes: of 30, ten each, as often as they lie in which box."""
+    rows = [(i, *map(float, q)) for i, q in enumerate(generate.cluster_queries(BOXES, 30))]
+    circles = spark.createDataFrame(rows, "qid int, x double, y double, rad double")
+    box = F.floor(F.col("qid") / 10).cast("int")
+    inside = F.coalesce(*[F.when(box == i, F.col("x").between(b[0], b[2]) & F.col("y").between(b[1], b[3])) for i, b in enumerate(BOXES)])
+    return circles.groupBy(box.alias("box")).agg(F.count("*").alias("n"), F.sum(inside.cast("long")).alias("inside"), (F.min("rad") >= 300).alias("wide"))
+
+
+def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample that clusters are searched in."""
+    return cluster.standardise(layouts.hashed_sample(orders(spark, sf_dir), 2048).select("id", "x", "y"))
+
+
+def standardised_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standardised(spark, sf_dir).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DBSCAN at 0.18 and 24 of the standardised sample."""
+    return cluster.dbscan(standardised(spark, sf_dir), 0.18, 24)
+
+
+def m3_own_boxes_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circle over m3 with the boxes that are found in the points."""
+    points = orders(spark, sf_dir)
+    found = cluster.find_boxes(layouts.hashed_sample(points, 2048).select("id", "x", "y"), gap=1.0)
+    return layouts.PointTable.write(points, layouts.m3(points, found), "m3-own").range_query(*CIRCLE)
+
+
+def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen parts of 256 indices against an interval for each order: many ranges against a catalog."""
+    start = F.pmod(F.col("o_orderkey") * 37, F.lit(4096))
+    left = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l"), start.alias("l_start"), F.least(F.lit(4095), start + F.pmod("o_custkey", F.lit(700))).alias("l_end"))
+    right = spark.range(16).select(F.col("id").alias("r"), (F.col("id") * 256).alias("r_start"), (F.col("id") * 256 + 255).alias("r_end"))
+    return layouts.overlap_join(left, right, 7)
+
+
 def batch_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates are the points of the circle's bounding box."""
     q = _batch(spark)
@@ -91,11 +170,8 @@ def _unindexed(curve: str) -> Callable:
 
 
 def curve_discontinuities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of the Z-order curve that don't lead to one of the eight cells around; 4**DEPTH cells."""
-    cells = spark.range(4**DEPTH).select(F.col("id"), curves.decode(F.col("id"), DEPTH, "zorder").alias("c"))
-    before = Window.orderBy("id")
-    step = cells.select(F.abs(F.col("c.gx") - F.lag("c.gx").over(before)).alias("dx"), F.abs(F.col("c.gy") - F.lag("c.gy").over(before)).alias("dy"))
-    return step.agg(F.sum((F.greatest("dx", "dy") > 1).cast("long")).alias("n"))
+    """Steps of each curve that don't lead to one of the eight cells around."""
+    return spark.createDataFrame([(c, plan.discontinuities(spark, DEPTH, c)) for c in ("hilbert", "zorder")], "curve string, n long")
 
 
 UNIT_BOX = (0.1, 0.4, 0.5, 0.8)
@@ -168,35 +244,35 @@ def partition_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_partitions(spark, sf_dir).groupBy("part_id").agg(F.count("*").alias("n"))
 
 
+def _tree(spark: SparkSession, sf_dir: str, min_leaf: int) -> trees.Node:
+    points = orders(spark, sf_dir)
+    return trees.build(layouts._sampled(points, layouts.SAMPLE), layouts.extent(points), min_leaf)
+
+
 def median_tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves of two levels by ranks in the sample; a window for each level and side, of the sample's 4096 rows."""
-    s = layouts.hashed_sample(orders(spark, sf_dir))
-    s = s.withColumn("node", F.lit(0))
-    for _ in range(2):
-        by_x, own = Window.partitionBy("node").orderBy("x", "id"), Window.partitionBy("node")
-        s = s.withColumn("right", (F.row_number().over(by_x) > F.floor(F.count("*").over(own) / 2)).cast("int"))
-        by_y, own = Window.partitionBy("node", "right").orderBy("y", "id"), Window.partitionBy("node", "right")
-        s = s.withColumn("top", (F.row_number().over(by_y) > F.floor(F.count("*").over(own) / 2)).cast("int"))
-        s = s.withColumn("node", F.col("node") * 4 + F.col("right") * 2 + 1 - F.col("top"))
-    return s.groupBy(F.col("node").alias("leaf")).agg(F.count("*").alias("pnum"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+    """Leaves of three levels: their population in the sample of 4096 and their boxes."""
+    rows = [(n.leaf, n.pnum, *map(float, n.box)) for n in _tree(spark, sf_dir, 64).leaves()]
+    return spark.createDataFrame(rows, "leaf int, pnum long, min_x double, min_y double, max_x double, max_y double")
 
 
 def tree_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One level of the tree over the sample, and the quadrant of every point by its medians."""
-    points = orders(spark, sf_dir)
-    own = layouts._sampled(points, layouts.SAMPLE)
-    root = trees.build(own, layouts.extent(points), max(3, len(own) // 4 + 1))
-    return points.select("id", trees.route(root, F.col("x"), F.col("y")).alias("leaf"))
+    """Two levels of the tree over the sample, and the leaf of every point by its medians."""
+    return orders(spark, sf_dir).select("id", trees.route(_tree(spark, sf_dir, 256), F.col("x"), F.col("y")).alias("leaf"))
 
 
 def leaf_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_route(spark, sf_dir).groupBy("leaf").agg(F.count("*").alias("n"))
 
 
+def tree_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the tree of m2, as the opened table has them: those of a tree that is built anew."""
+    opened = layouts.PointTable.open(spark, table(spark, sf_dir, "m2").path).layout
+    return spark.createDataFrame(trees.to_rows(opened.trees[0]), trees.NODE_SCHEMA).select("node", "parent", "depth", "leaf", "pnum")
+
+
 def point_in_box_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = F.col("x"), F.col("y")
-    tree = F.coalesce(*[F.when(x.between(b[0], b[2]) & y.between(b[1], b[3]), F.lit(i + 1)) for i, b in enumerate(BOXES)], F.lit(0))
-    return orders(spark, sf_dir).select("id", tree.alias("tree"))
+    """Which of m3's trees a point of the written table belongs to."""
+    return table(spark, sf_dir, "m3").df.select("id", "tree")
 
 
 def box_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,24 +358,26 @@ def union_of_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is found and checked at some tolerances; found is the same at all."""
-    points = orders(spark, sf_dir)
+    """What is found, what is checked for it and by how many ranges, at some tolerances; found is the same at all."""
     t = table(spark, sf_dir, "hilbert")
-    parts = []
-    for tolerance in (1, 16, 256):
-        base = layouts.sfc(points, 8, tolerance=tolerance)
-        found = layouts.PointTable(t.df, base).range_query(*CIRCLE)
-        parts.append(found.agg(F.count("*").alias("found")).select(F.lit(tolerance).alias("tolerance"), "found"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = None
+    for tolerance in TOLERANCES:
+        layout = replace(t.layout, tolerance=tolerance, max_ranges=None)
+        row = layouts.PointTable(t.df, layout).hit_rate(*CIRCLE)
+        row = row.select(F.lit(tolerance).alias("tolerance"), F.lit(len(layout.ranges(*CIRCLE))).alias("ranges"), "found", "checked")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 METHODS = {"naive_range": "naive", "rstar_range": "rstar", "sfc_range_hilbert": "hilbert", "sfc_range_zorder": "zorder", "m1_range_span": "m1_span", "m1_range_multi": "m1_multi", "m1_range_whole": "m1_whole", "m1_range_envelope": "m1_envelope", "m2_range": "m2", "m3_range": "m3"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _range(method) for name, method in METHODS.items()},
+    **{"hit_" + name: _hit(method) for name, method in METHODS.items()},
     "hilbert_index": _indexed("hilbert"), "zorder_index": _indexed("zorder"), "hilbert_unindex": _unindexed("hilbert"), "zorder_unindex": _unindexed("zorder"),
     **{f.__name__: f for f in (
-        batch_range, batch_hit_rate, curve_discontinuities, cell_enumeration_ranges, quadrant_ranges, collect_ranges, interval_overlap, extent, row_count, normalise_points, cell_histogram, index_histogram,
+        batch_range, batch_layout_range, reopened_range, compacted_range, storage, cluster_queries, standardised_points, cluster_labels, m3_own_boxes_range, overlap_join, tree_catalog,
+        batch_hit_rate, curve_discontinuities, cell_enumeration_ranges, quadrant_ranges, collect_ranges, interval_overlap, extent, row_count, normalise_points, cell_histogram, index_histogram,
         population_partitions, assign_partitions, partition_sizes, median_tree_leaves, tree_route, leaf_sizes, point_in_box_assign, box_intersections, cluster_boxes, dbscan_core_points, dbscan_labels,
         kmeans_step, silhouette, davies_bouldin, deterministic_sample, nested_samples, query_cell_cdf, web_mercator, export_format, semi_join_ids, limited_range, union_of_candidates, sweep_tolerance,
     )},
@@ -357,19 +435,58 @@ h as (select i::bigint i, (select count(*) from s where sfc = i) n from range(25
 quota as (select cast(floor(sum(n) // 16 * 1.1::double) as bigint) q from h),
 r(i, cur, part) as (select 0::bigint, n::bigint, 0 from h where i = 0
  union all select h.i, case when cur > 0 and cur + n > q and part < 15 then n else cur + n end, case when cur > 0 and cur + n > q and part < 15 then part + 1 else part end from r join h on h.i = r.i + 1, quota)"""
-_LEVEL = "l{n} as (select *, (row_number() over (partition by node order by x, id) > count(*) over (partition by node) // 2)::int r from {src}), m{n} as (select * exclude (node, r), node * 4 + r * 2 + 1 - (row_number() over (partition by node, r order by y, id) > count(*) over (partition by node, r) // 2)::int node from l{n})"
-_SAMPLE = f"with {_P}, z as (select *, 0 node from p order by md5(id::varchar), id limit 4096), {_LEVEL.format(n=1, src='z')}"
-_ROUTE = f"{_SAMPLE}, d as (select max(x) filter (node < 2) xm, max(y) filter (node = 1) ly, max(y) filter (node = 3) ry from m1), t as (select p.id, case when x <= xm then case when y <= ly then 1 else 0 end else case when y <= ry then 3 else 2 end end leaf from p, d)"
+
+def _tree_sql(levels: int) -> str:
+    """Of the sample, level by level: node, the box so far and the medians of each node."""
+    out = [_P, _W, "m0 as (select p.*, 0 node, x0 lx, y0 ly, x1 hx, y1 hy from p, w order by md5(id::varchar), id limit 4096)"]
+    for n in range(1, levels + 1):
+        out.append(f"l{n} as (select *, (row_number() over (partition by node order by x, id) > count(*) over (partition by node) // 2)::int r from m{n - 1})")
+        out.append(f"v{n} as (select *, max(x) filter (where r = 0) over (partition by node) xm, (row_number() over (partition by node, r order by y, id) <= count(*) over (partition by node, r) // 2)::int b from l{n})")
+        out.append(f"u{n} as (select *, max(y) filter (where b = 1) over (partition by node, r) ym from v{n})")
+        out.append(f"d{n} as (select node, any_value(xm) xm, max(ym) filter (where r = 0) lm, max(ym) filter (where r = 1) rm from u{n} group by 1)")
+        out.append(f"m{n} as (select id, x, y, node * 4 + r * 2 + b node, case when r = 1 then xm else lx end lx, case when b = 0 then ym else ly end ly, case when r = 0 then xm else hx end hx, case when b = 1 then ym else hy end hy from u{n})")
+    return "with " + ", ".join(out)
+
+
+def _route_sql() -> str:
+    out = ["t0 as (select id, x, y, 0 node from p)"]
+    for n in (1, 2):
+        out.append(f"t{n} as (select id, x, y, t.node * 4 + case when x <= xm then (y <= lm)::int else 2 + (y <= rm)::int end node from t{n - 1} t join d{n} d on t.node = d.node)")
+    return _tree_sql(2) + ", " + ", ".join(out)
+
+
+def _met(depth: int) -> str:
+    """The cells of a grid that the circle's box meets, and each point's."""
+    n, (x, y, r) = 2**depth, CIRCLE
+    at = lambda v, c: f"greatest(0, least(floor((greatest(least({v}::double, {c}1), {c}0) - {c}0) / ({c}1 - {c}0) * {n}.0::double), {n - 1}))::bigint"
+    return f"box as (select {at(x - r, 'x')} ax, {at(x + r, 'x')} zx, {at(y - r, 'y')} ay, {at(y + r, 'y')} zy from w), g as (select p.*, {_cell('x', n)} gx, {_cell('y', n)} gy from p, w)"
+
+
+_FOUND = f"count(*) filter (where {_IN}) found, count(*) checked, (count(*) filter (where {_IN}))::double / count(*)::double hit"
+_RANGES = f"cells as (select a.gx, b.gy from (select unnest(range(ax, zx + 1)) gx from box) a, (select unnest(range(ay, zy + 1)) gy from box) b), i as (select {_encode(8, 'hilbert')} sfc from cells), pts as (select *, {_encode(8, 'hilbert')} sfc from g)"
+_STD = "z as (select * from p order by md5(id::varchar), id limit 2048), sd as (select avg(x) ax, avg(y) ay, stddev_pop(x) dx, stddev_pop(y) dy from z), st as (select id, (x - ax) / dx x, (y - ay) / dy y from z, sd)"
 _N = f"n as (select a.id a, b.id b from (select id, x * 8.0::double x, y * 8.0::double y from e) a, (select id, x * 8.0::double x, y * 8.0::double y from e) b where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS * EPS}::double), k as (select a id from n group by a having count(*) >= {MIN_SAMPLES})"
 
 ORACLES: dict[str, str] = {
     **{name: f"with {_P} select id, x, y from p where {_IN}" for name in METHODS},
     "batch_range": f"with {_P}, {_BATCH_Q} select qid, id, x, y from p, q where (x - qx) * (x - qx) + (y - qy) * (y - qy) < rad * rad",
+    "batch_layout_range": f"with {_P}, {_BATCH_Q} select qid::bigint qid, id, x, y from p, q where (x - qx) * (x - qx) + (y - qy) * (y - qy) < rad * rad",
+    "reopened_range": f"with {_P} select unnest(['rstar', 'm1_multi', 'm3']) layout, id, x, y from p where {_IN}",
+    "compacted_range": f"with {_P} select id, x, y from p where {_IN}",
+    "m3_own_boxes_range": f"with {_P} select id, x, y from p where {_IN}",
+    "hit_naive_range": f"with {_P} select {_FOUND} from p",
+    "hit_rstar_range": f"with {_P} select {_FOUND} from p where x between {CIRCLE[0] - CIRCLE[2]}::double and {CIRCLE[0] + CIRCLE[2]}::double and y between {CIRCLE[1] - CIRCLE[2]}::double and {CIRCLE[1] + CIRCLE[2]}::double",
+    **{f"hit_{k}": f"with {_P}, {_W}, {_met(d)} select {_FOUND} from g, box where gx between ax and zx and gy between ay and zy" for k, d in (("sfc_range_hilbert", 8), ("sfc_range_zorder", 8), ("m1_range_multi", 6))},
+    "cluster_queries": "select unnest([0, 1, 2])::int box, 10::bigint n, 10::bigint inside, true wide",
+    "standardised_points": f"with {_P}, {_STD} select id, round(x, 6) x, round(y, 6) y from st",
+    "cluster_labels": f"with recursive {_P}, {_STD}, n as (select a.id a, b.id b from st a, st b where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {0.18 * 0.18}::double), k as (select a id from n group by a having count(*) >= 24), c as (select a, b from n where a in (select id from k) and b in (select id from k)), r(id, root) as (select id, id from k union select c.b, r.root from r join c on c.a = r.id), l as (select id, min(root) label from r group by id), t as (select a id, min(label) near from n join l on l.id = n.b group by a) select st.id, coalesce(l.label, t.near, -1) label from st left join l on l.id = st.id left join t on t.id = st.id",
+    "overlap_join": "with l as (select o_orderkey l, o_orderkey * 37 % 4096 a, least(4095, o_orderkey * 37 % 4096 + o_custkey % 700) z from orders), r as (select i::bigint r, i * 256 a, i * 256 + 255 z from range(16) t(i)) select l, r, greatest(l.a, r.a)::bigint as first, least(l.z, r.z)::bigint as last from l join r on l.a <= r.z and r.a <= l.z",
+    "tree_catalog": f"{_tree_sql(2)}, a as (select node path, 2 depth, count(*) pnum from m2 group by 1 union all select node, 1, count(*) from m1 group by 1 union all select 0, 0, count(*) from m0), b as (select *, path * 4 ** (2 - depth) first from a), c as (select *, (row_number() over (order by first, depth) - 1)::int node from b) select c.node, coalesce(u.node, -1)::int parent, c.depth::int depth, case when c.depth = 2 then c.path else -1 end::int leaf, c.pnum from c left join c u on u.depth = c.depth - 1 and u.path = c.path // 4",
     "batch_hit_rate": f"with {_P}, {_BATCH_Q}, c as (select qid, ((x - qx) * (x - qx) + (y - qy) * (y - qy) < rad * rad)::bigint ok from p, q where x between qx - rad and qx + rad and y between qy - rad and qy + rad) select qid, sum(ok)::bigint found, count(*) checked, sum(ok)::double / count(*)::double hit from c group by qid",
     "hilbert_index": f"with {_P}, {_W}, {_index_sql('hilbert', DEPTH)} select id, sfc from s",
     "zorder_index": f"with {_P}, {_W}, {_index_sql('zorder', DEPTH)} select id, sfc from s",
     **{f"{c}_unindex": f"with {_grid_sql(c)} select sfc, gx / 64.0::double min_x, gy / 64.0::double min_y, (gx + 1) / 64.0::double max_x, (gy + 1) / 64.0::double max_y from s" for c in ("hilbert", "zorder")},
-    "curve_discontinuities": f"with {_grid_sql('zorder')}, t as (select greatest(abs(gx - lag(gx) over (order by sfc)), abs(gy - lag(gy) over (order by sfc))) d from s) select count(*) filter (d > 1) n from t",
+    "curve_discontinuities": " union all ".join(f"select * from (with {_grid_sql(c)}, t as (select greatest(abs(gx - lag(gx) over (order by sfc)), abs(gy - lag(gy) over (order by sfc))) d from s) select '{c}' curve, count(*) filter (where d > 1) n from t)" for c in ("hilbert", "zorder")),
     "cell_enumeration_ranges": f"with {_grid_sql('hilbert')} {_islands(_U, 2 ** (DEPTH - 1))}",
     "quadrant_ranges": f"with {_grid_sql('hilbert')} {_islands('(select sfc from s where gx between 6 and 32 and gy between 25 and 51)', 0)}",
     "collect_ranges": f"with {_P}, {_W}, {_index_sql('hilbert', DEPTH)} {_islands('select distinct sfc from s', 1)}",
@@ -382,9 +499,9 @@ ORACLES: dict[str, str] = {
     "population_partitions": f"{_CUT} select part part_id, min(i) as start, case when part = max(part) over () then 255 else max(i) end::bigint as end from r group by part",
     "assign_partitions": f"{_CUT} select id, part part_id from s join r on sfc = i",
     "partition_sizes": f"{_CUT} select part part_id, count(*) n from s join r on sfc = i group by 1",
-    "median_tree_leaves": f"{_SAMPLE}, {_LEVEL.format(n=2, src='m1')} select node leaf, count(*) pnum, min(x) min_x, max(x) max_x, min(y) min_y, max(y) max_y from m2 group by 1",
-    "tree_route": f"{_ROUTE} select id, leaf from t",
-    "leaf_sizes": f"{_ROUTE} select leaf, count(*) n from t group by 1",
+    "median_tree_leaves": f"{_tree_sql(3)} select node::int leaf, count(*) pnum, any_value(lx) min_x, any_value(ly) min_y, any_value(hx) max_x, any_value(hy) max_y from m3 group by 1",
+    "tree_route": f"{_route_sql()} select id, node::int leaf from t2",
+    "leaf_sizes": f"{_route_sql()} select node::int leaf, count(*) n from t2 group by 1",
     "point_in_box_assign": f"with {_P} select id, {_TREE_CASE} tree from p",
     "box_intersections": f"with b(i, x0, y0, x1, y1) as (values {_BOX}) select a.i a, b.i b, greatest(a.x0, b.x0) min_x, greatest(a.y0, b.y0) min_y, least(a.x1, b.x1) max_x, least(a.y1, b.y1) max_y, a.x0 >= b.x0 and a.y0 >= b.y0 and a.x1 <= b.x1 and a.y1 <= b.y1 inside, pow(greatest(a.x0, least({CIRCLE[0]}, a.x1)) - {CIRCLE[0]}, 2) + pow(greatest(a.y0, least({CIRCLE[1]}, a.y1)) - {CIRCLE[1]}, 2) < {CIRCLE[2] ** 2} in_circle from b a join b b on a.i <= b.i and greatest(a.x0, b.x0) <= least(a.x1, b.x1) and greatest(a.y0, b.y0) <= least(a.y1, b.y1)",
     "cluster_boxes": f"with {_E} select label, count(*) n, min(x) min_x, min(y) min_y, max(x) max_x, max(y) max_y from e where label <> -1 group by label",
@@ -401,5 +518,5 @@ ORACLES: dict[str, str] = {
     "semi_join_ids": f"with {_P} select id from p where {_d2(*CIRCLE[:2])} <= {CIRCLE[2] * CIRCLE[2]}::double",
     "limited_range": f"with {_P} select least(7, count(*)) n from p where {_IN}",
     "union_of_candidates": f"with {_P} select id, x, y from p where {_IN} or {_d2(CIRCLE[0], CIRCLE[1] + CIRCLE[2])} < {CIRCLE[2] * CIRCLE[2]}::double",
-    "sweep_tolerance": f"with {_P} select unnest([1, 16, 256]) tolerance, count(*) found from p where {_IN} group by 1",
+    "sweep_tolerance": f"with {_P}, {_W}, {_met(8)}, {_RANGES}, t(tolerance) as (values " + ", ".join(f"({t}::int)" for t in TOLERANCES) + f"), n as (select tolerance, sfc, case when sfc <= lag(sfc) over (partition by tolerance order by sfc) + tolerance then 0 else 1 end new from i, t), k as (select tolerance, sfc, sum(new) over (partition by tolerance order by sfc) g from n), q as (select tolerance, g, min(sfc) lo, max(sfc) hi from k group by 1, 2), c as (select tolerance, count(*) filter (where {_IN}) found, count(*) checked from q join pts on sfc between lo and hi group by 1), r as (select tolerance, count(*)::int ranges from q group by 1) select c.tolerance, ranges, found, checked from c join r on c.tolerance = r.tolerance",
 }
