@@ -2,40 +2,41 @@
 
 The trie's edges are the host's labels from the right, then the path's
 segments; a rule ends at a node, with the rest of its path that does not fill
-a whole segment kept there.  A rule fits its host and every subdomain when the
-path of the url starts with the rule's path.  The deepest fitting rule wins:
-more host labels first, then the longer path; of equal rules, ``block``.
+a whole segment kept there by its text.  A rule fits its host and every
+subdomain when the path of the url starts with the rule's path.  The longest
+fitting rule (host and path together) wins; of equally long ones that with the
+longer host, and of equal rules ``block``.
 
+Host and path are cut out by built-in functions, only the look-up is Python.
 The rule list is operator-supplied and broadcast; MAX_RULES bounds it.
 
 Defined results: a null url or one without ``://`` has an empty host and path;
-no rule fits an empty host, unless its own host is empty.
+no rule fits an empty host, unless its own host is empty.  Repeated rows get
+the same answer each.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RULES = 2_000_000
-_HOST = re.compile(r"[^/?#]*")
-_PATH = re.compile(r"[^?#]*")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def split_url(url: str | None) -> tuple[str, str]:
-    if url is None or (at := url.find("://")) < 0:
-        return "", ""
-    host = _HOST.match(url, at + 3)
-    return host.group().translate(_UPPER), _PATH.match(url, host.end()).group()
+def split_url(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+    host = F.regexp_extract(rest, "^[^/?#]*", 0)
+    return F.translate(host, _UPPER, _LOWER), F.regexp_extract(F.substr(rest, F.length(host) + 1), "^[^?#]*", 0)
 
 
 class UrlTrie:
-    """Nodes are dicts: labels and segments to nodes; the key None holds (rest of path, rule, verdict) of the rules that end there."""
+    """Nodes are dicts: labels and segments to nodes; the key None holds {rest of path: (rule, verdict)} of the rules that end there, and their lengths."""
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {}
@@ -46,39 +47,34 @@ class UrlTrie:
             *whole, rest = path.split("/")
             for segment in whole:
                 node = node.setdefault(("p", segment), {})
-            node.setdefault(None, []).append((rest, host + path, verdict))
-        self._order(self.root)
-
-    def _order(self, root: dict) -> None:
-        open_nodes = [root]
-        while open_nodes:
-            node = open_nodes.pop()
-            for key, below in node.items():
-                if key is None:
-                    below.sort(key=lambda x: (-len(x[0]), x[2] != "block"))
-                else:
-                    open_nodes.append(below)
+            held, lengths = node.setdefault(None, ({}, set()))
+            lengths.add(len(rest))
+            if held.get(rest, (None, "allow"))[1] != "block":
+                held[rest] = host + path, verdict
 
     @staticmethod
     def _in_path(node: dict, segments: list[str]) -> tuple[str, str] | None:
+        """The longest rule of a host's node: the deeper, the longer."""
         best = None
         for i, segment in enumerate(segments):
-            for rest, rule, verdict in node.get(None, ()):
-                if segment.startswith(rest):
-                    best = rule, verdict
-                    break
+            if None in node:
+                held, lengths = node[None]
+                fits = [n for n in lengths if n <= len(segment) and segment[:n] in held]
+                best = held[segment[: max(fits)]] if fits else best
             if i == len(segments) - 1 or (node := node.get(("p", segment))) is None:
                 break
         return best
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, verdict) of the deepest fitting rule."""
+        """(rule, verdict) of the longest fitting rule."""
         best, node, segments = None, self.root, path.split("/")
         for label in reversed(host.split(".")):
             node = node.get(("h", label))
             if node is None:
                 break
-            best = self._in_path(node, segments) or best
+            found = self._in_path(node, segments)
+            if found and (best is None or len(found[0]) >= len(best[0])):
+                best = found
         return best
 
 
@@ -91,17 +87,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} can be broadcast")
     held = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
-    @F.pandas_udf("host string, path string, rule string, verdict string")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("rule string, verdict string")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         trie = held.value
-        for batch in batches:
-            rows = []
-            for value in batch:
-                host, path = split_url(value)
-                rule, verdict = trie.match(host, path) or (None, default)
-                rows.append((host, path, rule, verdict))
-            yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
+        for hosts, paths in batches:
+            yield pd.DataFrame([trie.match(h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)], columns=["rule", "verdict"], dtype=object)
 
     new = ("host", "path", "rule", "verdict")
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in (*new, "_judged")]
-    return pages.select(*kept, judge(F.col(url)).alias("_judged")).select(*kept, *[f"_judged.{c}" for c in new])
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in new] or [F.lit(None).alias("_none")])
+    host, path = split_url(F.col(url))
+    found = pages.select(row.alias("row"), host.alias("host"), path.alias("path")).select("*", judge("host", "path").alias("judged"))
+    return found.select(*[F.col(f"row.`{c}`") for c in pages.columns if c not in new], "host", "path", "judged.rule", "judged.verdict")

@@ -88,6 +88,47 @@ def test_url_filter(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, *(max(fits)[1:] if fits else (None, "allow")))
 
 
+def test_url_filter_random_rules(spark):
+    """Against all rules one by one: the longest wins, then the longer host, then block; many rests at one node, long and odd urls, repeated rows, an empty table."""
+    rng = random.Random(20)
+    labels, parts = ["a", "bc", "com", "x-y"], ["", "e", "en", "en/", "en/l", "en/long/path", "q/é"]
+    host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randrange(1, 4)))
+    rules = [(rng.choice(["block", "allow"]), host(), rng.choice(["", "/"]) + rng.choice(parts)) for _ in range(120)]
+    rules += [("block", "com", f"/n{i}") for i in range(500)] + [("block", "com", "/en/long/path"), ("allow", "a.com", "/e")]
+    urls = [f"http://{host().upper()}/{rng.choice(parts)}{rng.choice(['', 'x', '/y', '?en', '#z'])}" for _ in range(400)] + ["http://a.com/en/long/path/1", "http://com/n499/", "http://com/" + "z" * 200_000, "a://b://c/en", "://", "http://a.com\n/en", None, None]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, row string")
+    out = url_filter.filter_urls(pages, rules)
+    assert out.columns == ["page_id", "url", "row", "host", "path", "rule", "verdict"]
+    for r in out.collect():
+        url = urls[r.page_id]
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        h, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+        fits = [(len(x + p), len(x), v == "block", x + p, v) for v, x, p in rules if (h == x or h.endswith("." + x)) and path.startswith(p)]
+        assert (r.host, r.path, r.rule, r.verdict) == (h, path, *(max(fits)[3:] if fits else (None, "allow"))), url
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_warc_files_and_ranges(spark, tmp_path):
+    """Files that roll over, records that are far apart, long payloads; decisions by shuffle; only the wanted records are read."""
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abcdé") for _ in range(rng.choice([5, 300, 40_000]))) for _ in range(60)]
+    texts += [texts[i] for i in range(0, 60, 3)] + ["x" * 3_000_000, None]
+    pages = spark.createDataFrame([(i, f"u{i}", t, "x", "y") for i, t in enumerate(texts)], "page_id long, url string, html string, digest string, size string").repartition(2)
+    for limit in (10**6, 0):
+        folder = f"file://{tmp_path}/{limit}"
+        index = warc.write(pages, folder, file_bytes=20_000, broadcast_digests=limit)
+        assert index.select("file").distinct().count() > 4
+        rows = {r.page_id: r for r in warc.read(index.where("page_id % 4 <> 1"), folder).collect()}
+        assert set(rows) == {i for i in range(len(texts)) if i % 4 != 1}
+        first = {t: min(i for i, x in enumerate(texts) if x == t) for t in texts}
+        for i, r in rows.items():
+            data = (texts[i] or "").encode()
+            again = len(data) >= 100 and first[texts[i]] != i
+            assert (r.payload_bytes, r.payload_digest, r.refers_to) == (len(data), hashlib.sha256(data).hexdigest(), first[texts[i]] if again else None)
+            assert bytes(r.body) == (b"" if again else data) and r.url == f"u{i}"
+
+
 def test_warc(spark):
     long = "<p>é" * 40
     pages = spark.createDataFrame([(5, "http://a", long), (2, None, long), (9, "http://b\r\nX: 1", long), (7, "u", "short"), (8, "u", "short"), (1, "u", None), (4, "u", "ab\r\n\r\n" * 30), (None, "u", long)], "page_id long, url string, html string")
