@@ -7,7 +7,8 @@ at the smallest hash among the grams inside it, which equal windows share:
 
 1. Each text is cut into runs of successive windows with the same anchor.  A
    run's key is the anchor and a hash of all bytes that the run covers.  Of
-   equal runs within a text only the first goes on; later ones are removed.
+   equal runs within some MB of texts only the first goes on; later ones are
+   removed, so that frequent passages are few rows.
 2. Runs are dealt and sorted by anchor.  Of equal runs, all but the first are
    removed.  An anchor with unlike runs (where a repeated passage begins or
    ends) sends the first one of each to the next step, without windows that
@@ -184,25 +185,25 @@ def _shared(group: np.ndarray, mark: np.ndarray) -> np.ndarray:
 def _cut(length: int, gram: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """_id, _key, anchor, h (of the run's bytes), place of each run of each text.
 
-    A run that stands in the text before has a negative place: it is removed, whatever others do.
+    A run that stands before in these texts has a negative place: it is removed, whatever others do.
     """
     for batch in slices(batches):
         out = []
-        for i, (text, key) in enumerate(zip(batch["text"], batch["_key"], strict=True)):
-            data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-            anchor, h1, h2, place = runs(data, length, gram)
-            if not len(anchor):
-                continue
+        for i, text in enumerate(batch["text"]):
+            anchor, h1, h2, place = runs(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), length, gram)
             h = (h1 ^ (h2 >> np.uint64(17))) * np.uint64(0xBF58476D1CE4E5B9) + h2 + (place % _COUNTS).astype(np.uint64)
-            order = np.lexsort((place, h, anchor))
-            again = np.zeros(len(order), bool)
-            again[1:] = (anchor[order][1:] == anchor[order][:-1]) & (h[order][1:] == h[order][:-1])
-            place[order[again]] *= -1
-            out.append((i, key, _signed(anchor), _signed(h), place))
-        if out:
-            size = [len(x[2]) for x in out]
-            frame = {"_id": batch["_id"].to_numpy()[np.repeat([x[0] for x in out], size)], "_key": np.repeat([x[1] for x in out], size)}
-            yield pd.DataFrame(frame | {name: np.concatenate([x[k] for x in out]) for k, name in ((2, "anchor"), (3, "h"), (4, "place"))})
+            out.append((np.full(len(anchor), i), _signed(anchor), _signed(h), place))
+        at, anchor, h, place = (np.concatenate(x) for x in zip(*out, strict=True))
+        if not len(at):
+            continue
+        doc, key = batch["_id"].to_numpy()[at], batch["_key"].to_numpy()[at]
+        order = np.lexsort((place, key, doc, h, anchor))
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (h[order][1:] != h[order][:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        again = np.logical_or.reduce([x[order] != x[order][first] for x in (doc, key, place)])  # a repeated row has the same place
+        place[order[again]] *= -1
+        yield pd.DataFrame({"_id": doc, "_key": key, "anchor": anchor, "h": h, "place": place})
 
 
 def _same(frame: pd.DataFrame, columns: list[str]) -> np.ndarray:
@@ -296,7 +297,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _settled(docs: DataFrame, length: int, gram: int) -> DataFrame:
     cut = _rows(docs).mapInPandas(lambda b: _cut(length, gram, b), "_id long, _key long, anchor long, h long, place long")
-    dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "h", "_id", "_key", F.abs("place"))
+    # runs that are removed anyway wait for no other: they are dealt by document, so that a passage of many documents isn't one key
+    dealt = cut.repartition(F.when(F.col("place") < 0, F.xxhash64("_id", "_key")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor", "h", "_id", "_key", F.abs("place"))
     half = _half(length, gram)
     return materialise(dealt.mapInPandas(lambda b: _settle(half, b), "_id long, _key long, start int, n int, kind int"), "runs")
 

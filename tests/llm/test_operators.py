@@ -337,6 +337,29 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.strip(_docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_suffix_dedup_by_merged_transforms(spark):
+    """Whole documents against the merge of their shards' Burrows-Wheeler transforms; and that against plain strings."""
+    from circlet.llm import bwt_merge
+
+    rng = random.Random(91)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(60))).encode() for _ in range(40)]
+    seen, want = set(), []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - 9):
+            gone[s : s + 10] |= t[s : s + 10] in seen
+            seen.add(t[s : s + 10])
+        want.append(gone.tolist())
+    for shard in (64, 10**6):
+        assert [g.tolist() for g in bwt_merge.removed(texts, 10, shard)[0]] == want
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+    gone, rounds = bwt_merge.removed([t for _, t in rows], suffix_dedup.LENGTH, 1 << 17)
+    got = {r.doc_id: (r.n_removed, r.kept) for r in suffix_dedup.strip(docs).collect()}
+    assert rounds == 100 and sum(int(g.sum()) for g in gone) > 10_000
+    assert got == {i: (int(g.sum()), np.frombuffer(t, np.uint8)[~g].tobytes()) for (i, t), g in zip(rows, gone)}
+
+
 def test_suffix_dedup_odd_rows(spark):
     """Repeated rows are one document; null and shared ids: nulls first, then by id, then by a hash of the text."""
     rng = random.Random(90)
