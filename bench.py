@@ -2,7 +2,9 @@
 
 Layouts are written first, outside the clock; each query runs once before it is
 timed.  ``queries`` holds seconds; ``candidates`` what each method checked for
-the rows that it found.
+the rows that it found.  ``experiment`` has circles drawn where the points are
+(the first BENCH_QUERIES of 200): mean seconds of a circle, the geometric mean
+of the hit rates, bytes and files of the layout.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ import time
 from pyspark.sql import SparkSession
 
 from circlet import queries as spatial
-from circlet.operators import layouts
+from circlet.operators import generate, layouts
+from circlet.plans import tuning
 
 
 def main() -> None:
@@ -34,17 +37,32 @@ def main() -> None:
         seconds[name] = round(min(times), 4)
         row = table.hit_rate(*spatial.CIRCLE).first()
         candidates[name] = {"found": row["found"], "checked": row["checked"]}
+    points = spatial.orders(spark, sf_dir)
+    circles = generate.density_queries(points, layouts.extent(points), 200)
+    experiment = {}
+    for name, method in spatial.METHODS.items():
+        table = spatial.table(spark, sf_dir, method)
+        found = tuning.summary(tuning.measure(table, circles[: int(os.environ.get("BENCH_QUERIES", "8"))]))
+        experiment[name] = {"mean_s": round(found["avg_time"], 4), "hit": round(found["avg_hit"], 4), **table.storage()}
     for name in ("batch_range", "batch_hit_rate", "hilbert_index", "collect_ranges", "population_partitions", "median_tree_leaves", "dbscan_labels", "silhouette"):
         spatial.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         began = time.perf_counter()
         spatial.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 4)
-    points = spatial.orders(spark, sf_dir)
+    for name in ("naive", "hilbert", "m1_multi"):
+        table = spatial.table(spark, sf_dir, name)
+        began = time.perf_counter()
+        if name == "naive":
+            rows = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(circles)], "qid int, x double, y double, rad double")
+            layouts.batch_range(points, rows, 100.0).write.format("noop").mode("overwrite").save()
+        else:
+            table.batch([(i, *map(float, c)) for i, c in enumerate(circles)]).write.format("noop").mode("overwrite").save()
+        seconds[f"batch_200_{name}"] = round(time.perf_counter() - began, 4)
     many = spark.createDataFrame([(i, float(i * 37 % 15000), 10 + i * 211 % 4900.0, 20.0 + i % 90) for i in range(2000)], "qid int, x double, y double, rad double")
     began = time.perf_counter()
     layouts.batch_range(points, many, 50.0).write.format("noop").mode("overwrite").save()
     seconds["batch_2000"] = round(time.perf_counter() - began, 4)
-    print(json.dumps({"metric": "range_queries_total", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "candidates": candidates, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "range_queries_total", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "candidates": candidates, "experiment": experiment, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
 
 
 if __name__ == "__main__":

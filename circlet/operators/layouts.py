@@ -33,12 +33,17 @@ def hashed_sample(points: DataFrame, n: int = SAMPLE) -> DataFrame:
     return points.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(n)
 
 
-def _any(terms: list[Column]) -> Column:
-    return functools.reduce(lambda a, b: a | b, terms) if terms else F.lit(False)
+def _any(terms: list[str]) -> str:
+    return " or ".join(f"({t})" for t in terms) if terms else "false"
 
 
-def _between(column: str, ranges: list[Range]) -> Column:
-    return _any([F.col(column).between(lo, hi) for lo, hi in ranges])
+def _between(column: str, ranges: list[Range]) -> str:
+    """As SQL text: a predicate of many ranges is one call to the JVM so, not several for each of them."""
+    return _any([f"{column} between {lo} and {hi}" for lo, hi in ranges])
+
+
+def _among(column: str, values: list[int]) -> str:
+    return f"{column} in ({', '.join(map(str, values))})" if values else "false"
 
 
 def _circle_box(x: float, y: float, rad: float) -> Box:
@@ -80,7 +85,7 @@ class CurveLayout(Layout):
         return decompose(box, self.depth, self.curve, self.tolerance, self.max_ranges) if box else []
 
     def candidates(self, x: float, y: float, rad: float) -> Column:
-        return _between("sfc", self.ranges(x, y, rad))
+        return F.expr(_between("sfc", self.ranges(x, y, rad)))
 
 
 @dataclass
@@ -115,12 +120,11 @@ class RangePartitions(CurveLayout):
         if self.form == "envelope":
             ranges = [(ranges[0][0], ranges[-1][1])]
         met = overlap(self.parts, ranges)
-        wanted = F.col("part_id").isin([p for p, _, _ in met])
+        wanted = _among("part_id", [p for p, _, _ in met])
         if self.form == "whole":
-            return wanted
-        if self.form in ("span", "envelope"):
-            return wanted & _any([(F.col("part_id") == p) & F.col("sfc").between(lo, hi) for p, lo, hi in met])
-        return wanted & _any([(F.col("part_id") == p) & _between("sfc", clip(self.parts[p], ranges)) for p, _, _ in met])
+            return F.expr(wanted)
+        own = {p: [(lo, hi)] if self.form in ("span", "envelope") else clip(self.parts[p], ranges) for p, lo, hi in met}
+        return F.expr(f"{wanted} and ({_any([f'part_id = {p} and ({_between('sfc', r)})' for p, r in own.items()])})")
 
 
 @dataclass
@@ -172,9 +176,9 @@ class TreePartitions(Layout):
                     whole.setdefault(t, []).append(n.leaf)
                 else:
                     ranges = decompose(unit_box(box, n.box), self.depths[t], self.curve)
-                    terms.append((F.col("tree") == t) & (F.col("leaf") == n.leaf) & _between("sfc", ranges))
-        terms += [(F.col("tree") == t) & F.col("leaf").isin(own) for t, own in whole.items()]
-        return _any(terms)
+                    terms.append(f"tree = {t} and leaf = {n.leaf} and ({_between('sfc', ranges)})")
+        terms += [f"tree = {t} and {_among('leaf', own)}" for t, own in whole.items()]
+        return F.expr(_any(terms))
 
 
 #: groups of curve indices whose counts are collected at most
