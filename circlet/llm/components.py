@@ -1,4 +1,10 @@
-"""Connected components by alternating large and small stars, all as joins of written tables."""
+"""Connected components by alternating large and small stars, all as joins of written tables.
+
+A node of very many pairs is one key of the join in a round; the join isn't
+followed by another step on that key, so that Spark can split it (adaptive skew
+joins).  Pairs with a null node, and of a node with itself, link nothing; a
+repeated pair counts once; without pairs there are no rows.
+"""
 
 from __future__ import annotations
 

@@ -358,9 +358,12 @@ def _linked(docs: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
 
     first_pairs, linked = links(_first_pairs(places, lists, wide, total, percent, k), None)
     label = materialise(components(linked), "labels")
-    more = links(_second_pairs(places, lists, label, wide, total, percent, k), first_pairs)[1]
+    pairs, more = links(_second_pairs(places, lists, label, wide, total, percent, k), first_pairs)
+    discard(pairs)
+    labels = [label]
     if more.limit(1).count():
         label = materialise(components(linked.unionByName(more)), "labels")
+        labels.append(label)
     of = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.col("same").alias("_same"), "doc_id", F.coalesce("component", "rep").alias("component"))
     names = of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("rep").alias("main"))
     of = of.drop("doc_id").join(names, "component").select("_same", "component_id", (F.col("rep") == F.col("main")).alias("main"))
@@ -368,7 +371,10 @@ def _linked(docs: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
     nameless = F.col("component_id").isNull() & F.coalesce("main", F.lit(True))
     component = F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.when(F.col("same").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), nameless))
-    return rows.select("doc_id", "key", F.col("size").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    out = materialise(rows.select("doc_id", "key", F.col("size").alias("n_shingles"), component.alias("component_id"), kept.alias("kept")), "near-duplicates")
+    for own in (sketched, reps, shared, places, lists, in_long, wide, first_pairs, linked, more, *labels):
+        discard(own)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
