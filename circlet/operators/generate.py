@@ -26,6 +26,14 @@ def gaussian(spark: SparkSession, n: int, box: Box = (-1e5, -1e5, 1e5, 1e5), sig
     return rows.select("id", axis["x"].alias("x"), axis["y"].alias("y"))
 
 
+def make_datasets(spark: SparkSession, n: int, folder: str, box: Box = (-1e5, -1e5, 1e5, 1e5), seed: int = 1) -> dict[str, str]:
+    """Writes n even points (``ran``) and n normal ones (``gau``), and says where."""
+    made = {"ran": uniform(spark, n, box, seed), "gau": gaussian(spark, n, box, seed=seed)}
+    for name, points in made.items():
+        points.write.parquet(f"{folder}/{name}")
+    return {name: f"{folder}/{name}" for name in made}
+
+
 def poisson(rng: random.Random, mean: float) -> int:
     k, p, stop = 0, 1.0, math.exp(-mean)
     while (p := p * rng.random()) > stop:

@@ -41,6 +41,12 @@ def optimise(build: Callable[..., object], settings: list[dict], queries: list[t
     return min(tried, key=lambda x: sum(x[1]["times"]))
 
 
+def tune_on_sample(points, sample, build: Callable[..., object], settings: list[dict], queries: list[tuple[float, float, float]]) -> tuple[dict, dict]:
+    """The setting that is best on a sample of the points, and its figures on all of them.  build: a table of points and a setting."""
+    best, _ = optimise(lambda **s: build(sample, **s), settings, queries)
+    return best, measure(build(points, **best), queries)
+
+
 def tolerances(depth: int, steps: int = 32) -> list[int]:
     return [max(1, i * 2**depth // 16) for i in range(steps)]
 

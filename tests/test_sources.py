@@ -101,3 +101,12 @@ def test_lattices_and_curves(spark):
     assert [ranges.discontinuities(spark, d, "zorder") for d in (1, 2, 3)] == [0, 1, 7] and ranges.discontinuities(spark, 4, "hilbert") == 0
     node = tree.build([(i, float(i), float(i)) for i in range(8)], (0, 0, 7, 7), 4)
     assert tree.dump_all({0: node, 2: node}) == [*tree.dump(node), "2", *tree.dump(node)]
+
+
+def test_datasets_and_tuning_on_a_sample(spark, tmp_path):
+    made = generate.make_datasets(spark, 200, str(tmp_path / "made"))
+    tables = {name: spark.read.parquet(path) for name, path in made.items()}
+    assert {name: t.count() for name, t in tables.items()} == {"ran": 200, "gau": 200}
+    build = lambda points, depth, curve: layouts.PointTable(layouts.sfc(points, depth, curve).assign(points), layouts.sfc(points, depth, curve))
+    best, figures = tuning.tune_on_sample(tables["ran"], layouts.hashed_sample(tables["ran"], 50), build, [{"depth": 3, "curve": "zorder"}, {"depth": 4, "curve": "hilbert"}], [(0.0, 0.0, 4e4)])
+    assert best["depth"] in (3, 4) and len(figures["times"]) == len(figures["hit"]) == 1
