@@ -93,9 +93,12 @@ def _cut(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
     return joined.select("row", "lines", "runs", text.alias("text"))
 
 
-def dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with the text that is left."""
-    return _cut(docs, divisor, min_lines).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+def dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, keep_emptied: bool = True) -> DataFrame:
+    """docs with the text that is left; on demand without the documents of which runs were removed and only blank lines are left."""
+    rows = _cut(docs, divisor, min_lines)
+    if not keep_emptied:
+        rows = rows.where((F.coalesce(F.size("runs"), F.lit(0)) <= 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
