@@ -33,13 +33,13 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that stand elsewhere before are cut out of the texts; documents stay, if with an empty text.
+    """Chunks of lines that stand elsewhere before are cut out of the texts; documents of which nothing is left go.
 
-    n_chars is counted anew.  Null and empty texts stay as they are.  Before means: by doc_id, nulls first, then by
+    n_chars is counted anew.  Null, empty and blank texts stay as they are.  Before means: by doc_id, nulls first, then by
     a hash of the text, then by line.  Rows that are equal in id and text are one document: all of them keep the
     same lines.  An empty table gives an empty one.
     """
-    found = line_dedup.dedup(docs)
+    found = line_dedup.dedup(docs, keep_emptied=False)
     return found.select(*[F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
