@@ -144,7 +144,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 #: rows of one long that are broadcast (about 100 MB at most); beyond it the join is a shuffle
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def few(ids: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ blank are removed, so that of each repeated passage the first place (by doc_id,
 then by line) stays.
 
 All of it is DataFrame operations, and texts stay in their rows until a chunk
-is known to share its hash with another.  A hash with more than 1/HOT_PARTS of
+is known to share its hash with another: repeated hashes are broadcast up to
+BROADCAST_IDS, beyond it places without text are joined with them.  A hash with more than 1/HOT_PARTS of
 all repeated chunks is hot: there are fewer than HOT_PARTS of them, so they can
 be broadcast, and their rows are dealt over SALTS tasks in both joins.
 
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialise
+from ._shared import BROADCAST_IDS, materialise
 
 WINDOW = 2
 DIVISOR = 1
@@ -42,9 +43,17 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("lines"))
+
+
+def _chunk(start: Column) -> Column:
+    return F.concat_ws("\n", *[F.get("lines", start + k) for k in range(WINDOW)])
+
+
 def chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """_id, _key (a hash of the text), start (line number, from 0) and chunk of each chunk."""
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("lines"))
+    rows = _lines(docs)
     # explode_outer: for explode, the optimizer would infer a filter that splits the text once more
     if divisor == 1:
         starts = F.when(F.size("lines") >= WINDOW, F.sequence(F.lit(0), F.size("lines") - WINDOW))
@@ -53,10 +62,21 @@ def chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
         rolling = lambda i: F.get("hashes", i) * 31 + F.get("hashes", i + 1)
         starts = F.filter(F.when(F.size("lines") >= WINDOW, F.sequence(F.lit(0), F.size("lines") - WINDOW)), lambda i: F.pmod(rolling(i), F.lit(divisor)) == 0)
     rows = rows.select("_id", "_key", "lines", F.explode_outer(starts).alias("start")).where("start is not null")
-    return rows.select("_id", "_key", "start", F.concat_ws("\n", *[F.get("lines", F.col("start") + k) for k in range(WINDOW)]).alias("chunk"))
+    return rows.select("_id", "_key", "start", _chunk(F.col("start")).alias("chunk"))
+
+
+def _shared(docs: DataFrame, one: DataFrame, often: DataFrame, divisor: int, broadcast_hashes: int) -> DataFrame:
+    """The chunks (one) whose hashes are in often (hash, hot, salt), with their texts."""
+    if often.limit(broadcast_hashes + 1).count() <= broadcast_hashes:
+        return one.join(F.broadcast(often), ["hash", "salt"])
+    # places only are joined by a shuffle; then the documents that have any are cut again
+    hits = one.drop("chunk").join(often, ["hash", "salt"]).groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "hot", "salt")).alias("hits"))
+    rows = _lines(docs).withColumnsRenamed({"_id": "_at", "_key": "_at_key"})
+    back = rows.join(hits, F.col("_at").eqNullSafe(F.col("_id")) & (F.col("_at_key") == F.col("_key"))).select("_id", "_key", "lines", F.explode("hits").alias("h"))
+    return back.select("_id", "_key", "h.start", _chunk(F.col("h.start")).alias("chunk"), "h.hot", "h.salt")
 
 
-def repeated(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+def repeated(docs: DataFrame, divisor: int = DIVISOR, broadcast_hashes: int = BROADCAST_IDS) -> DataFrame:
     """_id, _key, runs: start and end (line numbers, both inside), ascending, of the runs of chunks that stand elsewhere before."""
     one = chunks(docs, divisor).withColumn("hash", F.xxhash64("chunk"))
     often = materialise(one.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "line-hashes")
@@ -66,7 +86,7 @@ def repeated(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     often = often.select("hash", (F.col("n") * HOT_PARTS > total).alias("hot")).select("hash", salts)
     dealt = F.when(F.col("hot"), F.pmod(F.xxhash64("_id", "_key", "start"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     one = one.join(F.broadcast(hot), "hash", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("salt", dealt)
-    places = materialise(one.join(often, ["hash", "salt"]).select("_id", "_key", "start", "chunk", "hot", "salt"), "line-chunks")
+    places = materialise(_shared(docs, one, often, divisor, broadcast_hashes).select("_id", "_key", "start", "chunk", "hot", "salt"), "line-chunks")
     order = F.struct(F.col("_id").isNotNull(), "_id", "_key", "start")
     first = places.groupBy("hot", "chunk").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("chunk", "first", salts)
     later = places.join(first, ["chunk", "salt"]).where(order > F.col("first")).select("_id", "_key", "start").distinct()

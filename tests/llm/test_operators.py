@@ -425,6 +425,8 @@ def test_line_dedup_short_passages(spark):
     want = _line_dedup(rows)
     got = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
     assert got == {i: want[i, t] for i, t in rows}
+    runs = [{(r._id, r._key): [tuple(x) for x in r.runs] for r in line_dedup.repeated(docs, broadcast_hashes=n).collect()} for n in (10**6, 0)]
+    assert runs[0] == runs[1] and len(runs[0]) > 200
     kept = collections.Counter(x for t in got.values() for x in t.split("\n"))
     assert all(kept[x] == 1 for p in passages for x in p) and got[245] == "z" and got[242] == "\t\n\n \n\n"
 
